@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ._shared import documents
+from ._shared import documents, fresh_path
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,6 +13,26 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return jaccard_components(documents(spark, sf_dir), words=3, threshold=90)
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe_codec import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = decode(encode(documents(spark, sf_dir), path), path)
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_store import read, with_starts, write
+
+    path = fresh_path(spark, "token-files")
+    write(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return with_starts(read(spark, path, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
