@@ -34,6 +34,18 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(read(spark, path, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import rate_documents
+
+    return rate_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("segments")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
