@@ -24,6 +24,12 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import leaks
+
+    return leaks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
