@@ -40,6 +40,19 @@ def op5_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_starts(read(spark, path, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(documents(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    kept = drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "lines_dropped", "emptied", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
