@@ -34,28 +34,44 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return stars.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, keep: str = "true") -> tuple[DataFrame, DataFrame]:
-    """Links and components of what shares a bucket: members(key, id, ...) to links(a, b) and components(node, component).
+def link(
+    members: DataFrame, attributes: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, keep: str = "true", close: str | None = None, ready: Callable[[DataFrame], None] | None = None, rest: Callable[[DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Links and components of what shares a bucket: members(key, id) to links(a, b) and components(node, component).
 
     First each member is verified against the bucket's smallest member, a number of pairs that is linear in the members. Then only pairs of a bucket
     whose two sides are not yet in one component are left, and all of these are verified, so no link between components is lost. `keep` is a filter over
-    x.* and y.* (the other columns of members) that pairs must pass, such as a bound on sizes; verify(pairs(a, b)) returns the pairs that hold."""
-    extra = [c for c in members.columns if c not in ("key", "id")]
-    leaders = members.groupBy("key").agg(F.min(F.struct("id", *extra)).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", "x")
-    shared = cut(members.join(leaders, "key").select("key", F.col("id").alias("id"), F.struct("id", *extra).alias("y"), "x"), name + "-buckets")
-    first = shared.where("x.id <> y.id").where(keep).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    x_* and y_* (the columns of attributes(id, ...) of both sides) that pairs must pass, such as a bound on sizes; verify(pairs(a, b)) returns the pairs that hold.
+    close is a filter over v and w, the values v of both sides in members(key, id, v), that is checked where they meet.
+    ready(ids(id)) is told once which ids can be asked for. rest(left(id, c)), for the second step, may give the pairs(a, b) in place of the buckets: all
+    that may link two of these ids in different components c."""
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        if keep == "true":
+            return pairs
+        for side, mark in (("a", "x_"), ("b", "y_")):
+            pairs = pairs.join(attributes.select(F.col("id").alias(side), *[F.col(c).alias(mark + c) for c in attributes.columns if c != "id"]), side)
+        return pairs.where(keep).select("a", "b")
+
+    extra = ["v"] if close else []
+    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top"), *[F.min_by(c, "id").alias("w") for c in extra]).where("leader < top").drop("top")
+    shared = cut(members.join(leaders, "key"), name + "-buckets")
+    if ready:
+        ready(shared.select("id").distinct())
+    first = cut(filtered(shared.where("id <> leader").where(close or "true").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), name + "-first")
     links = cut(verify(first), name + "-links")
     found = cut(components(links, name), name + "-found")
-    labelled = shared.select("key", "id", "y").join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "y", F.coalesce("component", "id").alias("c"))
-    labelled = cut(labelled, name + "-labelled")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = cut(labelled.join(mixed, "key", "left_semi"), name + "-left")
+    labelled = cut(shared.select("key", "id", *extra).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), *extra), name + "-labelled")
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    left = cut(labelled.join(mixed, "key"), name + "-left")
     if left.isEmpty():
         return links, found
-    one, two = left.select("key", F.col("y").alias("x"), F.col("c").alias("c1")), left.select("key", "y", F.col("c").alias("c2"))
-    rest = one.join(two, "key").where("c1 <> c2 and x.id < y.id").where(keep).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = cut(verify(rest), name + "-more")
+    if rest:
+        pairs = rest(left.select("id", "c").distinct())
+    else:
+        one, two = left.select("key", F.col("id").alias("a"), F.col("c").alias("c1"), *extra), left.select("key", F.col("id").alias("b"), F.col("c").alias("c2"), *[F.col(c).alias("w") for c in extra])
+        pairs = filtered(one.join(two, "key").where("c1 <> c2 and a < b").where(close or "true").select("a", "b").distinct())
+    more = cut(verify(pairs.join(first, ["a", "b"], "left_anti")), name + "-more")
     if more.isEmpty():
         return links, found
     links = links.unionByName(more)

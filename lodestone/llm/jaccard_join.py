@@ -168,19 +168,35 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: int = 80) ->
     total = max(1, docs.count())
     rows = cut(index(docs, words, threshold, total), "jaccard-index")
     whole = rows.where("n > 0 and doc_id is not null")
-    classes = cut(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id")), "jaccard-classes")
-    reps = classes.join(whole.select("f1", "f2", "n", F.col("doc_id").alias("id"), "keys"), ["f1", "f2", "n", "id"])
-    members = reps.select(F.explode("keys").alias("key"), "id", "n").distinct()
+    classes = cut(whole.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("f1", "f2", "n", F.col("least.doc_id").alias("id"), "least.keys"), "jaccard-classes")
+    members = classes.select(F.explode("keys").alias("key"), "id")
+
+    sets: list[DataFrame] = []
+
+    def ready(ids: DataFrame) -> None:
+        sets.append(cut(sets_of(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "id"), "jaccard-sets"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "jaccard-pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = cut(sets_of(docs.join(wanted, "doc_id", "left_semi"), words), "jaccard-sets")
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("one")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("two")), "b")
+        both = pairs.join(sets[0].select(F.col("id").alias("a"), F.col("elements").alias("one")), "a").join(sets[0].select(F.col("id").alias("b"), F.col("elements").alias("two")), "b")
         held = both.select("a", "b", "one", "two").mapInArrow(_shared, "a long, b long, na long, nb long, shared long")
         return held.where(f"100 * shared >= {threshold} * (na + nb - shared)").select("a", "b").distinct()
 
-    _, found = link(members, verify, "jaccard", keep=f"100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)")
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
+    def rest(left: DataFrame) -> DataFrame:
+        # Sets of two components that link share at least `least` elements, so, with all elements in one order, one of the first n - least + 1 of each. The order is by the number of sets that
+        # hold an element, those that no other component holds first; so the sets of a large family of copies that are too far apart do not meet.
+        rows = sets[0].join(left, "id").select("id", "c", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+        across = rows.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("e", "df")
+        near = rows.join(across, "e").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))  # at most a set's own elements
+        near = near.select("id", "c", "n", (F.col("n") - F.size("s")).alias("u"), "s").withColumn("k", F.expr(f"cast(floor((100 - {threshold}) * n / 100) as int) + 1 - u")).where("k > 0")
+        first = cut(near.select("id", "c", "n", "u", F.posexplode(F.slice("s", 1, F.col("k"))).alias("at", "x")).select("id", "c", "n", F.col("x.e").alias("e"), (F.col("u") + F.col("at")).alias("at")), "jaccard-prefixes")
+        x, y = (first.select("e", *[F.col(c).alias(mark + c) for c in ("id", "c", "n", "at")]) for mark in ("x_", "y_"))
+        least = f"cast(ceil({threshold} * (x_n + y_n) / {100 + threshold}) as int)"
+        met = x.join(y, "e").where(f"x_id < y_id and x_c <> y_c and 100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n) and x_at <= x_n - {least} and y_at <= y_n - {least}")
+        return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+    keep = f"100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)"
+    _, found = link(members, classes.select("id", "n"), verify, "jaccard", keep=keep, ready=ready, rest=rest)
+    named = classes.drop("keys").join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     out = rows.drop("keys").join(named, ["f1", "f2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
