@@ -36,5 +36,8 @@ def unconfirmed(added: DataFrame, confirmed: DataFrame, keys: list[str]) -> Data
 
 def identifiers(rows: DataFrame, id_column: str, text: str, families: dict[str, str]) -> DataFrame:
     """(id, family, value): the distinct matches of each family of patterns."""
-    parts = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)), lambda v, n=n: F.struct(F.lit(n).alias("family"), v.alias("value"))) for n, p in families.items()]
+    def named(family: str, pattern: str):
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(family).alias("family"), v.alias("value")))
+
+    parts = [named(n, p) for n, p in families.items()]
     return rows.select(id_column, F.explode(F.array_distinct(F.concat(*parts))).alias("m")).select(id_column, "m.family", "m.value")

@@ -20,8 +20,9 @@ def symptoms(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, symptom, matched array) of texts(id, text) that contain one of a symptom's patterns(symptom, pattern array), letters of any case.
 
     Patterns are a curated list; they are broadcast while small, which Spark checks, and nested-loop joined otherwise."""
-    hit = F.filter("pattern", lambda p: F.contains(F.lower("text"), F.lower(p)))
-    return texts.crossJoin(patterns).select("id", "symptom", hit.alias("matched")).where(F.size("matched") > 0)
+    hit = F.filter("pattern", lambda p: F.contains("low", F.lower(p)))
+    low = texts.select("id", F.lower("text").alias("low"))
+    return low.crossJoin(patterns).select("id", "symptom", hit.alias("matched")).where(F.size("matched") > 0)
 
 
 def fetch(sections: DataFrame) -> DataFrame:

@@ -146,7 +146,7 @@ class Index:
         if top < 1:
             raise ValueError("top must be at least 1")
         kw = ranked(self.keyword(query), F.desc("hits"), F.asc("id")).select("id", F.col("rank").alias("keyword_rank"))
-        tf = ranked(self.semantic(query).join(self.sections.select("id", "ord"), "id"), F.desc("score"), F.asc("ord")).select("id", F.col("rank").alias("tfidf_rank"))
+        tf = ranked(self.semantic(query).join(self.sections.select("id", "ord"), "id"), F.desc(F.round("score", 9)), F.asc("ord")).select("id", F.col("rank").alias("tfidf_rank"))
         one, two = F.col("keyword_rank"), F.col("tfidf_rank")
         share = lambda r: F.coalesce(1.0 / (RRF_K + r), F.lit(0.0))
         fused = kw.join(tf, "id", "full").withColumn("rrf", share(one) + share(two))

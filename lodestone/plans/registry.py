@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import quality, publishing, retrieval
+
+_ALL = retrieval.QUERIES | quality.QUERIES | publishing.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
