@@ -62,7 +62,7 @@ def train(x: np.ndarray, threshold: float = 0.2, rounds: int = 8) -> Codebook:
     size, x = x.shape[1], _pad(x)
     m = x.shape[1] // 2
     parts = x.reshape(len(x), m, 2)
-    start = rng.choice(len(x), size=(m, 16), replace=len(x) < 16)
+    start = np.stack([rng.choice(len(x), size=16, replace=len(x) < 16) for _ in range(m)])
     words = np.stack([parts[start[j], j] for j in range(m)]) + rng.normal(0, 1e-6, (m, 16, 2))
     book = Codebook(words, max(1.0, (size - 1) * threshold**2 / (1 - threshold**2)), size)
     for turn in range(rounds):

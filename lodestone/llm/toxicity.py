@@ -88,10 +88,9 @@ def _look_up(model: Model, all_tokens: list[np.ndarray]) -> tuple[np.ndarray, np
     n = len(all_tokens[0])
     if not len(model.words) or not n:
         return np.zeros(0, np.int64), np.zeros(0)
-    filter_ = _filters.get(id(model))
+    filter_ = model.__dict__.get("filter_")
     if filter_ is None:
-        _filters.clear()
-        filter_ = _filters[id(model)] = np.zeros(1 << 20, dtype=bool)
+        filter_ = model.__dict__["filter_"] = np.zeros(1 << 20, dtype=bool)
         filter_[model.words >> np.uint64(44)] = True
     best, odds = np.zeros(n), np.zeros(n)
     for h in all_tokens:
@@ -105,9 +104,6 @@ def _look_up(model: Model, all_tokens: list[np.ndarray]) -> tuple[np.ndarray, np
     return places, odds[places]
 
 
-_filters: dict[int, np.ndarray] = {}
-
-
 def segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, float, float]]]:
     """For each text its significant segments: byte offsets of start and end, sum, E-value."""
     h, first, starts, ends = words_of(data, offsets)
