@@ -38,7 +38,7 @@ def numbered_lines(files: DataFrame) -> DataFrame:
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*.md", without: str | None = "README.md", recursive: bool = False) -> DataFrame:
     """(file, content) of a directory's files with an ending, one name left out."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    rows = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
     return rows.where(F.col("file") != without) if without else rows
 
 
