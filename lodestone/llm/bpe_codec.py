@@ -1,6 +1,6 @@
 """Byte-level BPE from a rank file: encoding and decoding.
 
-Texts are cut by pretokens.pieces; each distinct piece is merged once and kept, pairs of lowest rank first and leftmost among equals. `ends`, the byte offset
+Texts are cut by pretokens.boundaries; each distinct piece is merged once and kept in a PieceTable, pairs of lowest rank first and leftmost among equals. `ends`, the byte offset
 behind each token, lets decoding find the tokens of any byte range. The vocabulary is a file that every worker can read by its path.
 
 Cases: a null or empty text has no ids and decodes to no bytes; a text of any length is whole; a piece of any length is merged in n log n steps; repeated rows each get a row; other columns are left out.
@@ -16,13 +16,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from ._shared import text_slices
-from .pretokens import pieces
-
-#: Distinct pieces that a worker keeps merged; beyond that it starts afresh.
-CACHE = 400_000
+from .piece_table import PieceTable
 
 
 @lru_cache(4)
@@ -85,52 +80,34 @@ def _merge_long(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-class Merged(dict):
-    """Pieces and their ids, packed as 32-bit integers."""
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.rank = ranks(path)
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = np.array(merge(piece.encode(), self.rank), dtype=np.int32).tobytes()
-        self[piece] = packed
-        return packed
+_tables: dict[str, PieceTable] = {}
 
 
-_merged: dict[str, Merged] = {}
-
-
-def packed_ids(texts: list[str], merged: dict[str, bytes]) -> list[bytes]:
-    """The packed ids of each text."""
-    found, _, before = pieces(texts)
-    get, at = merged.__getitem__, before.tolist()
-    out = [b"".join(map(get, found[a:b])) for a, b in zip(at, at[1:], strict=False)]
-    if len(merged) > CACHE:
-        merged.clear()
-    return out
+def table(path: str) -> PieceTable:
+    """This worker's cache of merged pieces."""
+    if path not in _tables:
+        rank = ranks(path)
+        _tables[path] = PieceTable(lambda pieces: [np.array(merge(p, rank), dtype=np.int32) for p in pieces], np.int32)
+    return _tables[path]
 
 
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids, ends) for each row: token ids, and the byte offset behind each token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = _merged.setdefault(path, Merged(path))
+        cache = table(path)
         width = np.array([len(x) for x in vocabulary(path)], dtype=np.int32)
         for batch in batches:
-            for part, _, _ in text_slices(batch, text_column):
-                packed = packed_ids([x or "" for x in part.column(1).to_pylist()], merged)
-                counts = np.array([len(x) // 4 for x in packed])
+            for part, data, offsets in text_slices(batch, text_column):
+                flat, counts = cache.ids(data, offsets)
                 at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                flat = np.frombuffer(b"".join(packed), dtype=np.int32)
                 ends = np.cumsum(width[flat], dtype=np.int64)
                 ends -= np.repeat(np.concatenate([[0], ends])[at[:-1]], counts)
                 lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (flat, ends)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], [id_column, "ids", "ends"])
 
-    kept = docs.select(id_column, F.col(text_column).alias("text")) if text_column != "text" else docs.select(id_column, "text")
+    kept = docs.select(id_column, text_column)
     kind = kept.schema[0].dataType.simpleString()
-    text_column = "text"
     return kept.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, ends array<int>")
 
 

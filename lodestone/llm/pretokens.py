@@ -128,15 +128,3 @@ def boundaries(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     state[first] = FREE
     return np.flatnonzero(starts[state, symbol])
 
-
-def pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The pieces of all texts in order, where each begins (in code points of its text), and for each text the number of pieces before it, with the total at the end."""
-    joined = "".join(texts)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-    starts = boundaries(codes, at[:-1][lengths > 0])
-    edges = [*starts.tolist(), len(joined)]
-    before = np.searchsorted(starts, at)
-    local = starts - np.repeat(at[:-1], np.diff(before))
-    return [joined[a:b] for a, b in zip(edges, edges[1:], strict=False)], local, before

@@ -24,48 +24,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import cut, text_slices
-from .pretokens import pieces
+from .piece_table import PieceTable
 
 #: An empty skippable frame: magic 0x184D2A50 and length 0, all of it ASCII.
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 IDS_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of text that go to one file, about.
 FILE_TEXT_BYTES = 24 << 20
-_CACHE = 400_000
-_known: dict[str, tuple] = {}
+_known: dict[str, Encoder] = {}
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _known:
+class Encoder:
+    """A tokenizer file of the tokenizers library, with the ids of the pieces met lately."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        split = spec.get("normalizer") is None and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("use_regex", True)
-        kind = np.uint16 if tokenizer.get_vocab_size() <= 65536 else np.uint32
-        _known[path] = (tokenizer, {}, kind, split)
+        before = spec.get("pre_tokenizer") or {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if len(vocabulary) <= 65536 else np.uint32
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)  # a byte-level token has a character for each byte
+        #: A byte-level tokenizer without normaliser treats pieces apart, so each distinct piece need be encoded once only.
+        apart = spec.get("normalizer") is None and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+        self.table = PieceTable(self.encode_pieces, self.kind) if apart else None
+
+    def encode_pieces(self, new: list[bytes]) -> list[np.ndarray]:
+        """Words with a space before are encoded many at a time: laid end to end they split again where they met."""
+        texts = [p.decode() for p in new]
+        out: list = [None] * len(new)
+        words = [i for i, t in enumerate(texts) if t[0] == " " and t[1:].isalpha()]
+        other = sorted(set(range(len(new))).difference(words))
+        for i in range(0, len(words), 4000):
+            part = words[i : i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, dtype=self.kind)
+            token_ends = np.cumsum(self.width[ids])
+            word_ends = np.cumsum([len(new[k]) for k in part])
+            last = np.searchsorted(token_ends, word_ends)
+            if not len(ids) or last[-1] >= len(ids) or (token_ends[last] != word_ends).any():
+                other += part
+                continue
+            cuts = (last + 1).tolist()
+            for k, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                out[k] = ids[a:b]
+        for k, e in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, dtype=self.kind)
+        return out
+
+    def packed(self, part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[bytes]:
+        """The ids of each text with the end id, packed."""
+        tail = np.array([end_id], dtype=self.kind).tobytes()
+        if self.table is None:
+            texts = [x or "" for x in part.column(1).to_pylist()]
+            return [np.array(e.ids, dtype=self.kind).tobytes() + tail for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        flat, counts = self.table.ids(data, offsets)
+        raw, at = flat.tobytes(), (np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize).tolist()
+        return [raw[a:b] + tail for a, b in zip(at, at[1:], strict=False)]
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _known:
+        _known[path] = Encoder(path)
     return _known[path]
 
 
-def packed(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """The ids of each text by the tokenizers library, with the end id, packed. A byte-level tokenizer treats pieces apart, so each distinct piece is encoded once and kept."""
-    tokenizer, cache, kind, split = _tokenizer(path)
-    tail = np.array([end_id], dtype=kind).tobytes()
-    if not split:
-        return [np.array(e.ids, dtype=kind).tobytes() + tail for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    found, _, before = pieces(texts)
-    new = list(set(found).difference(cache))
-    cache.update((p, np.array(e.ids, dtype=kind).tobytes()) for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
-    get, at = cache.__getitem__, before.tolist()
-    out = [b"".join([*map(get, found[a:b]), tail]) for a, b in zip(at, at[1:], strict=False)]
-    if len(cache) > _CACHE:
-        cache.clear()
-    return out
-
-
 def _skippable(magic: int, content: bytes) -> bytes:
     return struct.pack("<II", magic, len(content)) + content
 
@@ -80,12 +108,13 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
         import xxhash
         import zstandard
 
+        encoder = _encoder(tokenizer_path)
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
-        width = np.dtype(_tokenizer(tokenizer_path)[2]).itemsize
+        width = np.dtype(encoder.kind).itemsize
         ids, table = [], []
         for batch in batches:
-            for part, _, _ in text_slices(batch, "text"):
-                content = packed([x or "" for x in part.column(1).to_pylist()], tokenizer_path, end_id)
+            for part, data, offsets in text_slices(batch, "text"):
+                content = encoder.packed(part, data, offsets, end_id)
                 frames = [press.compress(x) for x in content]
                 ids += part.column(0).to_pylist()
                 table += [struct.pack("<III", len(f) + len(SEPARATOR), len(x), xxhash.xxh64_intdigest(x) & 0xFFFFFFFF) for f, x in zip(frames, content, strict=True)]
