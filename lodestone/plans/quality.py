@@ -150,6 +150,10 @@ QUERIES = {
         wording_positional,  # no lookahead in RE2: all hits, less those that a number follows
         r"select 'V23' as rule_id, 'fail' as severity, doc_id::varchar as entity, 'text' as field from documents where len(regexp_extract_all(text, '(?i)\b(?:of|by)\b', 0)) > len(regexp_extract_all(text, '(?i)\b(?:of|by) [0-9]', 0))",
     ),
+    "dq_wording_container": _rule("V24", lambda t: rules.lacks(t["documents"], "doc_id", "text", "(?i)" + T.LEFT + "th(?:is|e) (?:re|an)" + T.RIGHT), r"select doc_id::varchar as entity, 'text' as field, regexp_extract(text, '(?i)\bth(?:is|e) (?:re|an)\b', 0) as hit from documents where regexp_matches(text, '(?i)\bth(?:is|e) (?:re|an)\b')"),
+    "dq_banned_phrase": _rule("V26", lambda t: rules.lacks(t["conversations"].withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "key", "text", "(?i)(?:password|token) *="), "select conv_id || '/' || turn as entity, 'text' as field, regexp_extract(text, '(?i)(?:password|token) *=', 0) as hit from conversations where regexp_matches(text, '(?i)(?:password|token) *=')", "flag"),
+    "dq_trimmed": _rule("V29", lambda t: rules.required(t["events"].withColumn("note", F.when(F.col("value") > 90, "  ").otherwise("x")), "event_id", ["note"]), "select event_id::varchar as entity, 'note' as field, null::varchar as hit from events where value > 90"),
+    "dq_write_paths": _rule("C14", lambda t: rules.lacks(t["pages"], "page_id", "url", "[.](?:html|htm)(?:[?#]|$)"), "select page_id::varchar as entity, 'url' as field, regexp_extract(url, '[.](?:html|htm)(?:[?#]|$)', 0) as hit from pages where regexp_matches(url, '[.](?:html|htm)(?:[?#]|$)')", "flag"),
     "dq_wording_retraction": _rule("V25", lambda t: rules.lacks(t["documents"], "doc_id", "text", "(?:Released under|licensed under|Licensed under) [A-Za-z]+"), "select doc_id::varchar as entity, 'text' as field, regexp_extract(text, '(?:Released under|licensed under|Licensed under) [A-Za-z]+', 0) as hit from documents where regexp_matches(text, '(?:Released under|licensed under|Licensed under) [A-Za-z]+')", "flag"),
     "dq_name_is_stem": _rule("V27", lambda t: rules.finding(t["nation"].withColumn("file", F.concat(F.col("n_name"), F.when(F.col("n_nationkey") % 5 == 0, "-old.md").otherwise(".md"))), F.col("n_name") != F.regexp_replace("file", r"\.md$", ""), "n_nationkey", "file"), "select n_nationkey::varchar as entity, 'file' as field, n_name || '-old.md' as hit from nation where n_nationkey % 5 = 0"),
     "dq_sentences": _rule("V31", lambda t: rules.sentences(t["documents"].withColumn("summary", F.element_at(F.split("text", "\n"), 1)), "doc_id", "summary", 2), "select doc_id::varchar as entity, 'summary' as field, n::varchar as hit from (select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(string_split(text, chr(10))[1], '[.][ \\t\\r\\f]', '.' || chr(10), 'g'), '\\n'), lambda x: x <> '')) as n from documents) where n < 2"),

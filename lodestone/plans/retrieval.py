@@ -126,6 +126,22 @@ def section_listing(spark, sf):
     return graph.listing(rows)
 
 
+def section_metadata(spark, sf):
+    """Bounds and titles of sections; a missing title has a default."""
+    rows = sections(spark, sf).select("id", "file", F.when(F.length("title") > 40, None).otherwise(F.col("title")).alias("title"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+    return rows.select("id", "file", F.coalesce("title", F.concat(F.lit("Section "), F.col("id").cast("string"))).alias("title"), (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("line_count"))
+
+
+def section_by_id(spark, sf):
+    return sections(spark, sf).where(F.col("id") == 7).select("id", "file", F.md5("text").alias("text"))
+
+
+def tokens_by_file(spark, sf):
+    """Token, distinct-token and largest-count figures of each file."""
+    counts = sections(spark, sf).select("file", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("file", "term").agg(F.count("*").alias("c"))
+    return counts.groupBy("file").agg(F.sum("c").alias("tokens"), F.count("*").alias("terms"), F.max("c").alias("most"))
+
+
 def merged_sources(spark, sf):
     both = sections(spark, sf).select("id", "ord", "file")
     return graph.merged(both.where("file <> 'src0'"), both.withColumn("file", F.lit("fallback")), "id").select("id", "file")
@@ -246,6 +262,15 @@ case when keyword_rank is not null and tfidf_rank is not null then 'both layers'
         section_listing,
         "select source as file, min(doc_id) as first_ord, count(*) as sections, min(doc_id) as first_id, max(doc_id) as last_id, sum(len(string_split(text, chr(10))))::bigint as lines from documents group by source",
     ),
+    "section_metadata": (
+        section_metadata,
+        f"with {_SECTIONS} select id, file, case when length(title) <= 40 then title else 'Section ' || id end as title, len(string_split(text, chr(10))) as line_count from s",
+    ),
+    "section_by_id": (section_by_id, "select doc_id as id, source as file, md5(text) as text from documents where doc_id = 7"),
+    "tokens_by_file": (
+        tokens_by_file,
+        f"with t as (select source as file, unnest({_TOKENS.format('text')}) as term from documents), c as (select file, term, count(*) as c from t group by all) select file, sum(c)::bigint as tokens, count(*) as terms, max(c) as most from c group by file",
+    ),
     "merged_sources": (merged_sources, "select doc_id as id, case when source <> 'src0' then source else 'fallback' end as file from documents"),
     "registry_lookup": (
         registry_lookup,
