@@ -104,8 +104,8 @@ def fit(docs: DataFrame, per_lang: int = 600, landmarks: int = 128, ridge: float
     return Model(langs, marks.astype(np.float32), np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score beside; only the text is looked at."""
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the predicted language and its score beside, under those names; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS x m, whatever the data
     names = docs.columns
     at = names.index("text")
@@ -123,10 +123,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     p = model.scores(matrix) if model.langs else np.zeros((len(has), 1))
                     langs += [model.langs[k] if h else "und" for k, h in zip(p.argmax(axis=1), has, strict=True)]
                     scores += np.where(has, p.max(axis=1), 0).astype(np.float64).tolist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, lang, score])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

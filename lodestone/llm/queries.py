@@ -82,5 +82,40 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _license_sql() -> str:
+    from .license_scan import FILE_SHARE, TEMPLATES, THRESHOLD
+
+    templates = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+    token = "regexp_extract_all(lower({0}), '[a-z0-9]+', 0)"
+    return f"""with t(template, license, text) as (values {templates}),
+u as (select template, license, unnest({token.format("text")}) as word from t), tf as (select template, license, word, count(*) as tf from u group by all),
+idf as (select word, ln((select count(*) + 1 from t)::double / (1 + count(*))) + 1 as idf from tf group by word),
+raw as (select template, license, tf.word, tf * idf as w from tf join idf on tf.word = idf.word), n as (select template, sqrt(sum(w * w)) as norm from raw group by template),
+weight as (select raw.template, license, word, w / norm as weight from raw join n on raw.template = n.template),
+f as (select doc_id, source || '/' || doc_id as path, text, row_number() over () as rid, source as dir from documents),
+l as (select rid, length(text) as file_chars, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as value from f),
+w as (select rid, line, unnest({token.format("value")}) as word from l), c as (select rid, line, word, count(*) as c from w group by all),
+x as (select c.*, idf from c left join idf on c.word = idf.word),
+len as (select rid, line, sqrt(sum(case when idf is null then c * power(ln((select count(*) + 1 from t)) + 1, 2) else c * c * idf * idf end)) as length from x group by all),
+dot as (select rid, line, template, license, sum(c * idf * weight) as dot from x join weight on x.word = weight.word group by all),
+s as (select dot.rid, dot.line, license, round(dot / length, 6) as similarity from dot join len on dot.rid = len.rid and dot.line = len.line where round(dot / length, 6) >= {THRESHOLD}),
+b as (select rid, line, arg_min(license, (-similarity, license)) as license, max(similarity) as similarity from s group by all),
+o as (select b.rid, arg_min(b.license, (-similarity, b.line)) as license, max(similarity) as similarity, sum(length(value)) as chars, any_value(file_chars) as file_chars from b join l on b.rid = l.rid and b.line = l.line group by b.rid),
+g as (select dir, arg_min(struct_pack(path := path, license := license, similarity := similarity), (-similarity, path)) as g from f join o on f.rid = o.rid where chars >= {FILE_SHARE} * file_chars group by dir)
+select doc_id, path, coalesce(o.license, g.g.license) as license, coalesce(o.similarity, g.g.similarity) as similarity, case when o.license is not null then 'own' when g.g.license is not null then 'inherited' else 'none' end as via,
+case when o.license is not null then path else g.g.path end as from_path from f left join o on f.rid = o.rid left join g on f.dir = g.dir"""
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_JACCARD_SQL = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+', 0) as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+n as (select doc_id, len(s) as n from s), e as (select doc_id, hash(unnest(s)) as h from s),
+p as (select x.doc_id as a, y.doc_id as b, count(*) as shared from e x join e y on x.h = y.h and x.doc_id < y.doc_id group by all),
+k as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 90 * (x.n + y.n - shared)),
+both_ways as (select a, b from k union all select b, a from k),
+reach as (select doc_id as a, doc_id as b from n union select r.a, k.b from reach r join both_ways k on r.b = k.a)
+select n.doc_id, n as n_shingles, min(b) as component_id from n join reach on n.doc_id = reach.a group by all"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": _license_sql(), "op7_ngram_jaccard_join": _JACCARD_SQL}
