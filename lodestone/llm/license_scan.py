@@ -1,10 +1,10 @@
 """License scans with DataFrame functions alone.
 
 Each line of each file is compared with license templates by the cosine of sparse TF-IDF vectors: tf counts words, idf = ln((1 + T) / (1 + df)) + 1 over the T templates, and words in no template have the
-largest idf. A line's words outside all templates only lengthen it, so cos <= |its part inside| / |line|, a lossless bound that is taken from the line alone; only lines that pass it are
-joined with the templates. A file's own license is that of its best line of at least `threshold` (ties: earlier line, then template name).
+largest idf and count once each. Common words hold less than threshold^2 of each template's squared length, so a line of common words alone stays below the threshold (Cauchy-Schwarz), and lines
+without any other template word are out before their words are counted, as are lines with too many words outside for the few inside. A file's own license is that of its best line of at least `threshold` (ties: earlier line, then template name).
 
-A file is a license file if its name says so (LICENSE, LICENCE, COPYING, UNLICENSE, NOTICE, with any ending) or if lines that carry a license hold at least FILE_SHARE of its words. A directory's license
+A file is a license file if its name says so (LICENSE, LICENCE, COPYING, UNLICENSE, NOTICE, with any ending) or if lines that carry a license hold at least FILE_SHARE of its characters. A directory's license
 is that of its license files (the best, then the first path). Files without a license of their own inherit that of the nearest directory above, by a join on their ancestor paths.
 
 Cases: null and empty texts have no license of their own and may inherit; whole texts are read, however long; repeated rows each get a row; null paths neither give nor inherit; without any license every
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import cut
+
 FILE_SHARE = 0.8
 THRESHOLD = 0.7
 
@@ -24,16 +26,16 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license in the LICENSE file."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute or modify it under the terms of the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or later."),
+    ("GPL-3.0", "This program is free software: you can redistribute or modify it under the terms of the GNU General Public License, version 3 or later."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -42,6 +44,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Words of the templates that most prose holds.
+COMMON = {"a", "and", "any", "are", "as", "be", "by", "can", "for", "in", "is", "it", "its", "of", "or", "that", "the", "this", "to", "use", "with", "you", "not", "may", "all", "has", "at"}
 WORD = "[a-z0-9]+"
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
@@ -72,29 +76,43 @@ def _idf() -> dict[str, float]:
     return {w: math.log((1 + len(TEMPLATES)) / (1 + n)) + 1 for w, n in sorted(df.items())}
 
 
+def common_share() -> float:
+    """The most that COMMON words hold of a template's squared length."""
+    import re
+
+    idf, most = _idf(), 0.0
+    for _, text in TEMPLATES:
+        words = re.findall(WORD, text.lower())
+        v = {w: (words.count(w) * idf[w]) ** 2 for w in set(words)}
+        most = max(most, sum(x for w, x in v.items() if w in COMMON) / sum(v.values()))
+    return most
+
+
 def line_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(rid, line, words, license, similarity) of the lines of files(rid, text) that carry a license."""
+    """(rid, line, chars, license, similarity, file_chars) of the lines of files(rid, text) that carry a license."""
     import math
 
     idf = _idf()
     largest = math.log(1 + len(TEMPLATES)) + 1
     known = F.array(*[F.lit(w) for w in idf])
-    table = F.create_map(*[F.lit(x) for pair in idf.items() for x in pair])
-    lines = files.select("rid", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    lines = lines.select("rid", "line", _tokens("value").alias("tokens")).where(F.arrays_overlap("tokens", known))
-    lines = lines.select("rid", "line", F.size("tokens").alias("words"), F.filter("tokens", lambda x: F.array_contains(known, x)).alias("inside"))
-    counts = F.transform(F.array_distinct("inside"), lambda w: F.struct(w.alias("word"), (F.size(F.filter("inside", lambda x: x == w)) * F.element_at(table, w)).alias("w")))
-    lines = lines.select("rid", "line", "words", counts.alias("v"), (F.col("words") - F.size("inside")).alias("outside"))
-    part = F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])
-    lines = lines.select("rid", "line", "words", "v", "outside", part.alias("part"))
-    # words outside count at least once each, so this is the longest cosine the line can have
-    lines = lines.where(F.col("part") >= threshold * threshold * (F.col("part") + F.col("outside") * largest * largest))
-    terms = lines.select("rid", "line", "words", F.sqrt(F.col("part") + F.col("outside") * largest * largest).alias("length"), F.explode("v").alias("t"))
-    weights = F.broadcast(template_weights(files.sparkSession))  # the fixed templates: a few hundred rows
-    scores = terms.join(weights, terms["t.word"] == weights["word"]).groupBy("rid", "line", "words", "length", "template", "license").agg(F.sum(F.col("t.w") * F.col("weight")).alias("dot"))
-    scores = scores.select("rid", "line", "words", "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
-    best = scores.groupBy("rid", "line", "words").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
-    return best.select("rid", "line", "words", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
+    strong = F.array(*[F.lit(w) for w in idf if w not in COMMON or common_share() >= threshold * threshold])
+    keys = ["rid", "line", "chars", "file_chars"]
+    lines = files.select("rid", F.length("text").alias("file_chars"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    lines = lines.where(F.arrays_overlap(_tokens("value"), strong))
+    # n words inside have a squared length of n^2 largest^2 at most, m outside of m largest^2
+    inside = F.size(F.filter(_tokens("value"), lambda w: F.array_contains(known, w)))
+    lines = lines.where(inside * inside * (1 - threshold * threshold) >= threshold * threshold * 0.999 * (F.size(_tokens("value")) - inside))
+    words = lines.select("rid", "line", F.length("value").alias("chars"), "file_chars", F.explode(_tokens("value")).alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("c"))
+    table = files.sparkSession.createDataFrame(list(idf.items()), "word string, idf double")
+    weights = template_weights(files.sparkSession)
+    # both tables come from the fixed templates: a few hundred rows
+    terms = words.join(F.broadcast(table), "word", "left")
+    length = F.sum(F.when(F.col("idf").isNull(), F.col("c") * largest * largest).otherwise(F.col("c") * F.col("c") * F.col("idf") * F.col("idf")))
+    lengths = terms.groupBy(*keys).agg(F.sqrt(length).alias("length"))
+    dots = terms.join(F.broadcast(weights), "word").groupBy("rid", "line", "template", "license").agg(F.sum(F.col("c") * F.col("idf") * F.col("weight")).alias("dot"))
+    scores = dots.join(lengths, ["rid", "line"]).select(*keys, "license", F.round(F.col("dot") / F.col("length"), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scores.groupBy(*keys).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    return best.select(*keys, F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
 
 
 def ancestors(path):
@@ -107,12 +125,11 @@ def scan(files: DataFrame, id_column: str = "doc_id", threshold: float = THRESHO
     """(id, path, license, similarity, via, from_path) of each row of files(id, path, text); via is own, inherited or none."""
     files = files.select(F.col(id_column).alias("id"), "path", "text").withColumn("rid", F.xxhash64("id", "path", "text"))
     lines = line_licenses(files, threshold)
-    own = lines.groupBy("rid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "line", "license")).alias("b"), F.sum("words").alias("licensed_words"))
-    size = F.size(_tokens("text"))
-    slim = files.select("id", "path", "rid", F.when(F.col("text").isNull(), 0).otherwise(size).alias("words"))
-    found = slim.join(own, "rid", "left").select("id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), "words", "licensed_words")
+    own = lines.groupBy("rid").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "line", "license")).alias("b"), F.sum("chars").alias("licensed_chars"), F.max("file_chars").alias("chars"))
+    found = files.select("id", "path", "rid").join(own, "rid", "left").select("id", "path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"), "chars", "licensed_chars")
+    found = cut(found, "license-own")  # read three times below
     name = F.element_at(F.split("path", "/"), -1)
-    is_file = F.col("license").isNotNull() & (name.rlike(FILE_NAME) | (F.col("licensed_words") >= FILE_SHARE * F.col("words")))
+    is_file = F.col("license").isNotNull() & (name.rlike(FILE_NAME) | (F.col("licensed_chars") >= FILE_SHARE * F.col("chars")))
     directory = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     givers = found.where(F.col("path").isNotNull() & is_file).groupBy(directory.alias("dir")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), "path", "license")).alias("g"))
     without = found.where("license is null and path is not null").select("path").distinct()
