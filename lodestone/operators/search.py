@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
 
+# The least score of a hit, the constant of rank fusion, the idf of a term that the index does not know.
 MIN_SCORE, RRF_K, UNKNOWN_IDF = 0.03, 60, math.log(50)
 
 
@@ -69,7 +70,7 @@ def expand(words: list[str], vocabulary: DataFrame, spark: SparkSession) -> Data
     asked = spark.createDataFrame([(w,) for w in words], "term string")
     if not words:
         return asked
-    # the vocabulary is filtered by literals: one pass, no join, nothing collected
+    # the vocabulary is first filtered by literals, so only near words meet the few that are missing
     missing = asked.where(F.length("term") >= 4).join(vocabulary.select("term"), "term", "left_anti")
     near = vocabulary.select("term").where(
         F.exists(
@@ -90,7 +91,8 @@ def query_vector(terms: DataFrame, idf: DataFrame, unknown: float = UNKNOWN_IDF)
 def cosine(weight: DataFrame, norm: DataFrame, vector: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """(id, score) of the sections that reach `least`."""
     length = vector.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
-    dot = weight.join(F.broadcast(vector), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
+    # expansion follows the vocabulary, so whether the vector is broadcast is left to Spark, which checks its size
+    dot = weight.join(vector, "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot"))
     score = F.when(F.col("norm") * F.col("qnorm") == 0, 0.0).otherwise(F.col("dot") / (F.col("norm") * F.col("qnorm")))
     return dot.join(norm, "id").crossJoin(F.broadcast(length)).select("id", score.alias("score")).where(F.col("score") >= least)
 
