@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import cut, release
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -56,10 +56,13 @@ def link(
     extra = ["v"] if close else []
     leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top"), *[F.min_by(c, "id").alias("w") for c in extra]).where("leader < top").drop("top")
     shared = cut(members.join(leaders, "key"), name + "-buckets")
+    release(members.sparkSession)
     if ready:
         ready(shared.select("id").distinct())
+        release(members.sparkSession)
     first = cut(filtered(shared.where("id <> leader").where(close or "true").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()), name + "-first")
     links = cut(verify(first), name + "-links")
+    release(members.sparkSession)
     found = cut(components(links, name), name + "-found")
     labelled = cut(shared.select("key", "id", *extra).join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"), *extra), name + "-labelled")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
@@ -71,6 +74,7 @@ def link(
     else:
         one, two = left.select("key", F.col("id").alias("a"), F.col("c").alias("c1"), *extra), left.select("key", F.col("id").alias("b"), F.col("c").alias("c2"), *[F.col(c).alias("w") for c in extra])
         pairs = filtered(one.join(two, "key").where("c1 <> c2 and a < b").where(close or "true").select("a", "b").distinct())
+    release(members.sparkSession)
     more = cut(verify(pairs.join(first, ["a", "b"], "left_anti")), name + "-more")
     if more.isEmpty():
         return links, found

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,7 +56,53 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if _scopes:
+        _scopes[-1].tables.append(out)
+    return out
+
+
+class Scope:
+    """What cut() writes inside a with block goes at its end, but for what keep() was told of, so an operator leaves behind no more than its result reads."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables, self.kept = spark, [], []
+
+    def __enter__(self) -> Scope:
+        _scopes.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
+
+    def __exit__(self, *failure) -> None:
+        _scopes.remove(self)
+        paths = {df.written_at for df in self.kept}
+        for df in self.tables:
+            if df.written_at not in paths:
+                discard(df)
+        if _scopes:
+            _scopes[-1].tables += self.kept
+        self.tables, self.kept = [], []
+        release(self.spark)
+
+
+_scopes: list[Scope] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that cut() wrote and that nothing reads any more."""
+    jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of lineage that cut() has ended; they go once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -7,7 +7,7 @@ by its subset and that subset's one-deletion neighbourhood in each near segment.
 expected chance meetings, given the number of sets. Candidates are verified on the whole sets, so the result is exact (up to equal 64-bit hashes of unequal shingles).
 
 Cases: null, empty or blank texts have the empty set and link with nothing; texts with fewer words than a shingle have one shingle, the whole sequence; equal sets always link;
-repeated rows and repeated ids each get a row; a null id gets a null component; other columns, whatever their names, are ignored unless asked for in `carry`.
+repeated rows and repeated ids each get a row; a null id links with nothing on its own account but gets the component of its equals, or null; other columns, whatever their names, are ignored unless asked for in `carry`.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._linking import link
-from ._shared import cut, text_slices
+from ._shared import Scope, cut, discard, release, text_slices
 
 _U = np.uint64
 #: Sizes of one band lie within this ratio.
 BAND_RATIO = 1.4
+#: The chance that the cost model gives two unrelated sets to agree on an element.
+CHANCE = 0.05
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -78,7 +80,7 @@ def _band_of(n: int) -> int:
 def plan(hi: int, threshold: int, sets: int) -> tuple[int, int]:
     """(exact, near) segments for sets of at most hi elements, the cheapest of those with exact + 2 * near > H.
 
-    Cost of a set: its keys, and the chance meetings expected if unrelated sets of the band share each element of a segment with chance 0.3, in units of a key."""
+    Cost of a set: its keys, and the chance meetings expected if unrelated sets of the band share each element of a segment with chance CHANCE, in units of a key."""
     most = (100 - threshold) * 2 * hi // (100 + threshold)
     best = None
     for near in sorted({0, 1, 2, 3, (most + 2) // 2, *((most + 2) * k // 16 for k in range(1, 8))}):
@@ -86,8 +88,8 @@ def plan(hi: int, threshold: int, sets: int) -> tuple[int, int]:
         if near > (most + 2) // 2 or exact + near == 0:
             continue
         per = hi / (exact + near)
-        meet = sets * 0.3 ** per
-        cost = exact * (1 + meet) + near * (1 + per) * (1 + meet / 0.3)
+        meet = sets * CHANCE**per
+        cost = exact * (1 + meet) + near * (1 + per) * (1 + meet / CHANCE)
         if best is None or cost < best[0]:
             best = (cost, exact, near)
     return best[1], best[2]
@@ -164,16 +166,25 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: int = 80) ->
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text): documents link when 100 * shared >= threshold * united.
 
     Equal sets are one class with its smallest id as representative before anything is joined, so copies meet no bucket."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with Scope(docs.sparkSession) as scope:
+        return scope.keep(_components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, threshold))
+
+
+def _components(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     total = max(1, docs.count())
-    rows = cut(index(docs, words, threshold, total), "jaccard-index")
-    whole = rows.where("n > 0 and doc_id is not null")
+    indexed = cut(index(docs, words, threshold, total), "jaccard-index")
+    rows = cut(indexed.drop("keys"), "jaccard-rows")
+    whole = indexed.where("n > 0 and doc_id is not null")
     classes = cut(whole.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "keys")).alias("least")).select("f1", "f2", "n", F.col("least.doc_id").alias("id"), "least.keys"), "jaccard-classes")
+    discard(indexed)
+    release(docs.sparkSession)
     members = classes.select(F.explode("keys").alias("key"), "id")
+    slim = cut(classes.drop("keys"), "jaccard-slim")
 
     sets: list[DataFrame] = []
 
     def ready(ids: DataFrame) -> None:
+        discard(classes)  # the buckets are written
         sets.append(cut(sets_of(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "id"), "jaccard-sets"))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -185,18 +196,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: int = 80) ->
     def rest(left: DataFrame) -> DataFrame:
         # Sets of two components that link share at least `least` elements, so, with all elements in one order, one of the first n - least + 1 of each. The order is by the number of sets that
         # hold an element, those that no other component holds first; so the sets of a large family of copies that are too far apart do not meet.
-        rows = sets[0].join(left, "id").select("id", "c", F.size("elements").alias("n"), F.explode("elements").alias("e"))
-        across = rows.groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("e", "df")
-        near = rows.join(across, "e").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))  # at most a set's own elements
-        near = near.select("id", "c", "n", (F.col("n") - F.size("s")).alias("u"), "s").withColumn("k", F.expr(f"cast(floor((100 - {threshold}) * n / 100) as int) + 1 - u")).where("k > 0")
+        homes = sets[0].join(left, "id")
+        across = homes.select("c", F.explode("elements").alias("e")).groupBy("e").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("df")).where("lo < hi").select("e", "df")
+        across = cut(across, "jaccard-across")
+        release(docs.sparkSession)
+        near = homes.select("id", F.explode("elements").alias("e")).join(across, "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))  # at most a set's own elements
+        near = near.join(homes.select("id", "c", F.size("elements").alias("n")), "id").withColumn("u", F.col("n") - F.size("s"))
+        near = near.withColumn("k", F.expr(f"cast(floor((100 - {threshold}) * n / 100) as int) + 1 - u")).where("k > 0")
         first = cut(near.select("id", "c", "n", "u", F.posexplode(F.slice("s", 1, F.col("k"))).alias("at", "x")).select("id", "c", "n", F.col("x.e").alias("e"), (F.col("u") + F.col("at")).alias("at")), "jaccard-prefixes")
+        release(docs.sparkSession)
         x, y = (first.select("e", *[F.col(c).alias(mark + c) for c in ("id", "c", "n", "at")]) for mark in ("x_", "y_"))
         least = f"cast(ceil({threshold} * (x_n + y_n) / {100 + threshold}) as int)"
         met = x.join(y, "e").where(f"x_id < y_id and x_c <> y_c and 100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n) and x_at <= x_n - {least} and y_at <= y_n - {least}")
         return met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
 
     keep = f"100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)"
-    _, found = link(members, classes.select("id", "n"), verify, "jaccard", keep=keep, ready=ready, rest=rest)
-    named = classes.drop("keys").join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    out = rows.drop("keys").join(named, ["f1", "f2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    _, found = link(members, slim.select("id", "n"), verify, "jaccard", keep=keep, ready=ready, rest=rest)
+    named = slim.join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
+    out = rows.join(named, ["f1", "f2", "n"], "left")
+    return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "jaccard-components")
