@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import Scope, cut
 
 QUERY_BLOCK = 8192
 #: Rows that one table scan covers.
@@ -192,5 +192,6 @@ def nearest(rows: DataFrame, every: int, k: int = 5) -> DataFrame:
     rows, size = valid(rows)
     if not size:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, book = build(rows, size)
-    return search(index, book, index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding"), k)
+    with Scope(rows.sparkSession) as scope:
+        index, book = build(rows, size)
+        return scope.keep(cut(search(index, book, index.where(F.col("vec_id") % every == 0).select("vec_id", "embedding"), k), "ann-nearest"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import crc_fold, cut, text_slices
+from ._shared import Scope, crc_fold, cut, text_slices
 
 #: What a word without significant lean adds to a sum.
 DRIFT = -0.03
@@ -132,6 +132,11 @@ def evidence(rows: list[tuple[int, int, float, float]]) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 20_000, prior: float = 0.05) -> Model:
     """A model of docs(doc_id, text) and labels(doc_id, toxic): about `sample` labelled rows are learnt from."""
+    with Scope(docs.sparkSession):
+        return _fit(docs, labels, sample, terms, prior)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, terms: int, prior: float) -> Model:
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
     total = known.count()
     place = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")) % 1_000_000 + 1_000_000) % 1_000_000
