@@ -1,8 +1,8 @@
 """N-gram Jaccard join by the universe-partition pigeonhole.
 
 Each document is the set of its distinct word shingles, as 64-bit hashes of whole words. Two sets of a size band whose Jaccard similarity reaches the threshold
-differ in at most H elements. A second hash deals the universe into segments; a plan of `exact` segments and `near` segments with exact + 2 * near > H leaves at least one exact
-segment on which both sets agree, or one near segment on which they differ in one element at most. So a set is indexed by its subset in each exact segment, and
+differ in at most H elements. A second hash deals the universe into segments; a plan of `exact` segments and `near` segments with exact + 2 * near > H + spare leaves more than `spare` exact
+segments on which both sets agree (a near segment on which they differ in one element at most counts as two). A set with at most `spare` empty exact segments leaves these out, as many sets agree on them. So a set is indexed by its subset in each exact segment, and
 by its subset and that subset's one-deletion neighbourhood in each near segment. The plan of a band is the cheapest by a cost of index keys and
 expected chance meetings, given the number of sets. Candidates are verified on the whole sets, so the result is exact (up to equal 64-bit hashes of unequal shingles).
 
@@ -77,22 +77,24 @@ def _band_of(n: int) -> int:
 
 
 @lru_cache(None)
-def plan(hi: int, threshold: int, sets: int) -> tuple[int, int]:
-    """(exact, near) segments for sets of at most hi elements, the cheapest of those with exact + 2 * near > H.
+def plan(hi: int, threshold: int, sets: int) -> tuple[int, int, int]:
+    """(exact, near, spare) segments for sets of at most hi elements, the cheapest of those with exact + 2 * near > H + spare.
 
     Cost of a set: its keys, and the chance meetings expected if unrelated sets of the band share each element of a segment with chance CHANCE, in units of a key."""
     most = (100 - threshold) * 2 * hi // (100 + threshold)
     best = None
     for near in sorted({0, 1, 2, 3, (most + 2) // 2, *((most + 2) * k // 16 for k in range(1, 8))}):
-        exact = max(0, most + 1 - 2 * near)
+        bare = max(0, most + 1 - 2 * near)
+        spare = 1 + bare // 12 if bare > 1 else 0  # about the empty segments of a set at the low end of its band
+        exact = bare + spare
         if near > (most + 2) // 2 or exact + near == 0:
             continue
         per = hi / (exact + near)
         meet = sets * CHANCE**per
         cost = exact * (1 + meet) + near * (1 + per) * (1 + meet / CHANCE)
         if best is None or cost < best[0]:
-            best = (cost, exact, near)
-    return best[1], best[2]
+            best = (cost, exact, near, spare)
+    return best[1:]
 
 
 def keys(elements: np.ndarray, threshold: int, sets: int) -> np.ndarray:
@@ -103,14 +105,17 @@ def keys(elements: np.ndarray, threshold: int, sets: int) -> np.ndarray:
     mixed = W.mix(elements)
     place = mixed >> _U(32)
     for lo, hi in bands(n, threshold):
-        exact, near = plan(hi, threshold, sets)
+        exact, near, spare = plan(hi, threshold, sets)
         m = exact + near
         segment = ((place * _U(m)) >> _U(32)).astype(np.int64)
         value = W.mix(elements + _U(0x5851F42D4C957F2D))
         subset = np.zeros(m, dtype=np.uint64)
         np.add.at(subset, segment, value)  # the sum of spread hashes stands for the subset
         salt = W.mix(np.arange(m, dtype=np.uint64) + _U(lo * 0x632BE59BD9B4E019 % 2**64))
-        out.append(W.mix(subset ^ salt))
+        empty = np.bincount(segment, minlength=m) == 0
+        empty[exact:] = False
+        use = ~empty if empty.sum() <= spare else slice(None)
+        out.append(W.mix(subset ^ salt)[use])
         if near:
             last = segment >= exact
             out.append(W.mix((subset[segment[last]] - value[last]) ^ salt[segment[last]]))
@@ -142,17 +147,49 @@ def index(docs: DataFrame, words: int, threshold: int, sets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
 
 
+def parity(elements: np.ndarray) -> bytes:
+    """A bit for each place of a power of two of places, two to four times the set's size: whether an odd number of elements lies there. Two sets differ in at least as many elements as
+    their parities do in bits, and a parity folds to half its length by xor."""
+    size = 64
+    while size < 2 * len(elements):
+        size *= 2
+    return np.packbits(np.bincount((W.mix(elements ^ _U(0x8BB84B93962EACC9)) & _U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def apart(one: bytes, two: bytes) -> int:
+    """A lower bound on the elements in which two sets differ, from their parities."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, elements): the sets themselves, for verification."""
+    """(doc_id, n, parity, elements): the sets themselves, for verification."""
 
     def run(batches):
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 found = shingle_sets(data, offsets, words)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64), pa.int64()))], ["doc_id", "elements"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found).view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array([parity(x) for x in found], pa.binary()), lists], ["doc_id", "n", "parity", "elements"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, parity binary, elements array<long>")
+
+
+def _may_link(threshold: int):
+    """Leaves pairs(a, b, na, nb, one, two) whose parities do not rule the threshold out."""
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, one, two = (c.to_pylist() for c in batch.columns)
+            keep = [(100 + threshold) * apart(x, y) <= (100 - threshold) * (n + m) for n, m, x, y in zip(na, nb, one, two, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, elements array<long>")
+    return run
 
 
 def _shared(batches):
@@ -188,8 +225,10 @@ def _components(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         sets.append(cut(sets_of(docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "id"), "jaccard-sets"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs, "jaccard-pairs")
-        both = pairs.join(sets[0].select(F.col("id").alias("a"), F.col("elements").alias("one")), "a").join(sets[0].select(F.col("id").alias("b"), F.col("elements").alias("two")), "b")
+        side = lambda mark, *columns: sets[0].select(F.col("id").alias(mark), *[F.col(c).alias(x) for c, x in columns])
+        both = pairs.join(side("a", ("n", "na"), ("parity", "one")), "a").join(side("b", ("n", "nb"), ("parity", "two")), "b")
+        pairs = cut(both.select("a", "b", "na", "nb", "one", "two").mapInArrow(_may_link(threshold), "a long, b long"), "jaccard-pairs")
+        both = pairs.join(side("a", ("elements", "one")), "a").join(side("b", ("elements", "two")), "b")
         held = both.select("a", "b", "one", "two").mapInArrow(_shared, "a long, b long, na long, nb long, shared long")
         return held.where(f"100 * shared >= {threshold} * (na + nb - shared)").select("a", "b").distinct()
 
@@ -201,7 +240,7 @@ def _components(docs: DataFrame, words: int, threshold: int) -> DataFrame:
         across = cut(across, "jaccard-across")
         release(docs.sparkSession)
         near = homes.select("id", F.explode("elements").alias("e")).join(across, "e").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "e"))).alias("s"))  # at most a set's own elements
-        near = near.join(homes.select("id", "c", F.size("elements").alias("n")), "id").withColumn("u", F.col("n") - F.size("s"))
+        near = near.join(homes.select("id", "c", F.col("n").cast("int").alias("n")), "id").withColumn("u", F.col("n") - F.size("s"))
         near = near.withColumn("k", F.expr(f"cast(floor((100 - {threshold}) * n / 100) as int) + 1 - u")).where("k > 0")
         first = cut(near.select("id", "c", "n", "u", F.posexplode(F.slice("s", 1, F.col("k"))).alias("at", "x")).select("id", "c", "n", F.col("x.e").alias("e"), (F.col("u") + F.col("at")).alias("at")), "jaccard-prefixes")
         release(docs.sparkSession)

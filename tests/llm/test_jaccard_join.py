@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestone.llm import jaccard_join as J
@@ -87,8 +88,17 @@ def test_edges(spark):
 @pytest.mark.parametrize("threshold", [80, 90])
 def test_plans_reach_the_bound(threshold):
     for hi in range(1, 3000):
-        exact, near = J.plan(hi, threshold, 10**6)
-        assert exact + 2 * near > (100 - threshold) * 2 * hi // (100 + threshold)
+        exact, near, spare = J.plan(hi, threshold, 10**6)
+        assert exact + 2 * near > (100 - threshold) * 2 * hi // (100 + threshold) + spare
     for n in range(1, 2000):
         for m in range(n, n * 100 // threshold + 1):
             assert set(J.bands(n, threshold)) & set(J.bands(m, threshold)), (n, m)
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, 600, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 400))) for _ in range(2))
+        assert J.apart(J.parity(a), J.parity(b)) <= len(np.setxor1d(a, b))
+    assert J.apart(J.parity(a), J.parity(a)) == 0
