@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
-PASS_BYTES = 1_000_000
+PASS_BYTES = 400_000
 
 
 def prepare(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class PieceTable:
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], kind, most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], kind, most: int = 400_000):
         self.encode, self.kind, self.most = encode, np.dtype(kind), most
         self.slots = 1 << (2 * most - 1).bit_length()
         self.reset()
@@ -48,10 +48,10 @@ class PieceTable:
         for name in ("head", "size", "start", "count"):
             have = getattr(self, name)
             if self.rows + n > len(have):
-                setattr(self, name, np.concatenate([have, np.zeros(max(n, len(have)), have.dtype)]))
+                setattr(self, name, np.concatenate([have, np.zeros(max(n, len(have) // 2), have.dtype)]))
         flat = np.concatenate(ids).astype(self.kind)
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), self.kind)])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool) // 2), self.kind)])
         counts = np.array([len(x) for x in ids], dtype=np.int32)
         at = slice(self.rows, self.rows + n)
         self.head[at], self.size[at], self.count[at] = head, size, counts
