@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut, release
 
+#: Shares of the bucket keys that are shuffled one after the other.
+KEY_PASSES = 3
+
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node that each node of edges(a, b) can reach.
@@ -54,9 +58,13 @@ def link(
         return pairs.where(keep).select("a", "b")
 
     extra = ["v"] if close else []
-    leaders = members.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top"), *[F.min_by(c, "id").alias("w") for c in extra]).where("leader < top").drop("top")
-    shared = cut(members.join(leaders, "key"), name + "-buckets")
-    release(members.sparkSession)
+    parts = []
+    for k in range(KEY_PASSES):  # a share of the keys at a time, as most keys have one member and only pass through the shuffle
+        share = members.where(F.pmod("key", F.lit(KEY_PASSES)) == k)
+        leaders = share.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("top"), *[F.min_by(c, "id").alias("w") for c in extra]).where("leader < top").drop("top")
+        parts.append(cut(share.join(leaders, "key"), name + "-buckets"))
+        release(members.sparkSession)
+    shared = reduce(DataFrame.unionByName, parts)
     if ready:
         ready(shared.select("id").distinct())
         release(members.sparkSession)
