@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; a longer text is a pass of its own.
 PASS_BYTES = 400_000
+_libc = ctypes.CDLL(None)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -127,3 +129,12 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = PASS_BYTES) -> I
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
         yield batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, where the C library can; workers live long and share their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc, "malloc_trim", None)
+    if trim:
+        trim(0)
