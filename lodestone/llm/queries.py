@@ -62,7 +62,7 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_repeated_lines
 
-    kept = drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = drop_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), bits=None)
     return kept.select("doc_id", "lines_dropped", "emptied", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
