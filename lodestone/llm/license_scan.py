@@ -1,8 +1,8 @@
 """License scans with DataFrame functions alone.
 
 Each line of each file is compared with license templates by the cosine of sparse TF-IDF vectors: tf counts words, idf = ln((1 + T) / (1 + df)) + 1 over the T templates, and words in no template have the
-largest idf and count once each. Common words hold less than threshold^2 of each template's squared length, so a line of common words alone stays below the threshold (Cauchy-Schwarz), and lines
-without any other template word are out before their words are counted, as are lines with too many words outside for the few inside. A file's own license is that of its best line of at least `threshold` (ties: earlier line, then template name).
+largest idf and count once each. Of each template the most frequent common words are set apart, as many as hold less than threshold^2 of its squared length, so a line that meets it in these alone stays below the threshold
+(Cauchy-Schwarz), and lines without any other template word are out before their words are counted, as are lines with too many words outside for the few inside. A file's own license is that of its best line of at least `threshold` (ties: earlier line, then template name).
 
 A file is a license file if its name says so (LICENSE, LICENCE, COPYING, UNLICENSE, NOTICE, with any ending) or if lines that carry a license hold at least FILE_SHARE of its characters. A directory's license
 is that of its license files (the best, then the first path). Files without a license of their own inherit that of the nearest directory above, by a join on their ancestor paths.
@@ -26,16 +26,16 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license in the LICENSE file."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."),
-    ("GPL-2.0", "This program is free software; you can redistribute or modify it under the terms of the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute or modify it under the terms of the GNU General Public License, version 3 or later."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or later."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -44,8 +44,8 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-# Words of the templates that most prose holds.
-COMMON = {"a", "and", "any", "are", "as", "be", "by", "can", "for", "in", "is", "it", "its", "of", "or", "that", "the", "this", "to", "use", "with", "you", "not", "may", "all", "has", "at"}
+# Words of the templates that most prose holds, the most frequent first.
+COMMON = ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "as", "with", "be", "this", "by", "are", "or", "not", "at", "you", "all", "has", "can", "may", "any", "use", "its"]
 WORD = "[a-z0-9]+"
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
@@ -76,16 +76,22 @@ def _idf() -> dict[str, float]:
     return {w: math.log((1 + len(TEMPLATES)) / (1 + n)) + 1 for w, n in sorted(df.items())}
 
 
-def common_share() -> float:
-    """The most that COMMON words hold of a template's squared length."""
+def strong_words(threshold: float) -> list[str]:
+    """Words of which a line of at least `threshold` holds one: of each template those but the most frequent COMMON words, as many as hold less than threshold^2 of its squared length."""
     import re
 
-    idf, most = _idf(), 0.0
+    idf, strong = _idf(), set()
     for _, text in TEMPLATES:
         words = re.findall(WORD, text.lower())
         v = {w: (words.count(w) * idf[w]) ** 2 for w in set(words)}
-        most = max(most, sum(x for w, x in v.items() if w in COMMON) / sum(v.values()))
-    return most
+        left = threshold * threshold * 0.999 * sum(v.values())
+        for w in [w for w in COMMON if w in v]:
+            left -= v[w]
+            if left <= 0:
+                break
+            del v[w]
+        strong |= set(v)
+    return sorted(strong)
 
 
 def line_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -95,7 +101,7 @@ def line_licenses(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = _idf()
     largest = math.log(1 + len(TEMPLATES)) + 1
     known = F.array(*[F.lit(w) for w in idf])
-    strong = F.array(*[F.lit(w) for w in idf if w not in COMMON or common_share() >= threshold * threshold])
+    strong = F.array(*[F.lit(w) for w in strong_words(threshold)])
     keys = ["rid", "line", "chars", "file_chars"]
     lines = files.select("rid", F.length("text").alias("file_chars"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
     lines = lines.where(F.arrays_overlap(_tokens("value"), strong))
