@@ -1,7 +1,7 @@
 """HTML main text by a recurrent block labeller.
 
 A page becomes the sequence of its text blocks: runs of text between block-level tags, without comments, scripts, styles and other unread elements. Each block has a vector: hashed tag path
-with class, id and role words, hashed words, length, link share and punctuation. A numpy bidirectional LSTM reads the whole sequence, and a logistic unit labels each block as main text or not, with the
+with class, id and role words, all its words hashed and scaled by the root of their number, length, link share and punctuation. A numpy bidirectional LSTM reads the whole sequence, and a logistic unit labels each block as main text or not, with the
 document on both sides as context. The network is trained here, at the first use, on pages drawn from a fixed seed in many layouts; it sees no page of the input.
 
 Cases: null or empty html, and pages without main text, give an empty string; broken markup (unclosed or stray tags) is read as browsers do, by closing what a new block implies; whole pages are read; blocks
@@ -135,10 +135,12 @@ def vectors(found: list[tuple[str, list[str], int]]) -> np.ndarray:
         for depth, word in enumerate(reversed(path)):
             k, sign = _place(word, PATH)
             row[k] += sign * (1.0 if depth < 4 else 0.7)
-        words = text.lower().split(" ", 13)[:12]
+        words = text.lower().split()
+        said = row[PATH : PATH + WORDS]
         for word in words:
             k, sign = _place(word.strip(".,:;!?()"), WORDS)
-            row[PATH + k] += sign * 0.3
+            said[k] += sign
+        said /= max(np.sqrt(len(words)), np.sqrt(said @ said))  # by the root of their number, and to length 1 at most where words repeat
         n = len(text)
         row[-NUMBERS:] = (np.log1p(n) / 6, min(1.0, links / max(1, n)), text.count(".") / max(4, n / 20), i / max(1, len(found) - 1), float(n < 25), float(text[-1] in ".!?"), float("©" in text))
     return x
