@@ -6,7 +6,7 @@ A linear-time scan over the words of a document finds all maximal segments of po
 K * n * exp(-lambda * S), with lambda the root of E[exp(lambda * s)] = 1 over the words of non-toxic documents; segments with an E-value below SIGNIFICANT are toxic passages. A document's evidence
 is the sum of -ln(E-value) of its significant segments, and a logistic curve over it and over its strongest segment, fitted on the training rows, gives the score.
 
-Training rows are bounded: about `sample` labelled rows, chosen by a hash of the id; the word table keeps at most `terms` words.
+Training rows are bounded: about `sample` labelled rows, chosen by a hash of the id; the word table holds all words of these rows that count.
 
 Cases: a null or empty text has no segment and the lowest score; whole texts are read, however long; a document labelled twice counts each time; without labels of both kinds every score is 0; repeated rows get equal results.
 """
@@ -130,13 +130,13 @@ def evidence(rows: list[tuple[int, int, float, float]]) -> tuple[float, float]:
     return min(100.0, float(sum(logs))), float(max(r[2] for r in rows))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, terms: int = 20_000, prior: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, prior: float = 0.05) -> Model:
     """A model of docs(doc_id, text) and labels(doc_id, toxic): about `sample` labelled rows are learnt from."""
     with Scope(docs.sparkSession):
-        return _fit(docs, labels, sample, terms, prior)
+        return _fit(docs, labels, sample, prior)
 
 
-def _fit(docs: DataFrame, labels: DataFrame, sample: int, terms: int, prior: float) -> Model:
+def _fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> Model:
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
     total = known.count()
     place = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")) % 1_000_000 + 1_000_000) % 1_000_000
@@ -163,7 +163,7 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, terms: int, prior: flo
     share = (F.col("t") + F.col("c")) * prior
     odds = F.log((F.col("t") + share) / (nt + mass - F.col("t") - share)) - F.log((F.col("c") + share) / (nc + mass - F.col("c") - share))
     z = odds / F.sqrt(1 / (F.col("t") + share) + 1 / (F.col("c") + share))
-    strong = table.select("word", odds.alias("odds"), z.alias("z"), "t", "c").where("z > 3.5 and t >= 3 or z < -6").orderBy(F.desc(F.abs("z")), "word").limit(terms).collect()
+    strong = table.select("word", odds.alias("odds"), z.alias("z"), "t", "c").where("z > 3.5 and t >= 3 or z < -6").orderBy("word").collect()  # bounded by the rows learnt from
     if not any(r["odds"] > 0 for r in strong):
         return none
     order = np.argsort(np.array([r["word"] for r in strong], dtype=np.int64).view(np.uint64))
@@ -200,7 +200,7 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, terms: int, prior: flo
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `segments`, the significant toxic passages, and `score` beside; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most `terms` words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows learnt from
     names = docs.columns
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sum", pa.float64()), ("e_value", pa.float64())]))
 
