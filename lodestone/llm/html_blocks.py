@@ -4,8 +4,8 @@ A page becomes the sequence of its text blocks: runs of text between block-level
 with class, id and role words, all its words hashed and scaled by the root of their number, length, link share and punctuation. A numpy bidirectional LSTM reads the whole sequence, and a logistic unit labels each block as main text or not, with the
 document on both sides as context. The network is trained here, at the first use, on pages drawn from a fixed seed in many layouts; it sees no page of the input.
 
-Cases: null or empty html, and pages without main text, give an empty string; broken markup (unclosed or stray tags) is read as browsers do, by closing what a new block implies; whole pages are read; blocks
-are read in windows of WINDOW blocks with OVERLAP blocks of context on both sides, so memory is bounded; repeated rows get equal results; other columns pass.
+Cases: null or empty html, and pages without main text, give an empty string; broken markup (unclosed or stray tags) is read as browsers do, by closing what a new block implies; whole pages are read;
+the states run through the whole page, and longer pages run with fewer others at a time, so memory is bounded by the longest page; repeated rows get equal results; other columns pass.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ _WORD = re.compile(r"[a-z]+")
 
 PATH, WORDS, NUMBERS, HIDDEN = 96, 32, 7, 20
 INPUT = PATH + WORDS + NUMBERS
-WINDOW, OVERLAP = 512, 64
+#: Blocks of a page in a full batch of pages.
+WINDOW = 512
 
 
 def blocks(page: str) -> list[tuple[str, list[str], int]]:
@@ -198,8 +199,13 @@ def probabilities(model: tuple[np.ndarray, np.ndarray, np.ndarray], sequences: l
     """For each sequence the probability of each block to be main text. Sequences of like length run together."""
     out: list[np.ndarray] = [np.zeros(0)] * len(sequences)
     order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: len(sequences[i]))
-    for k in range(0, len(order), 64):
+    k = 0
+    while k < len(order):
         some = order[k : k + 64]
+        # a page of more than WINDOW blocks runs with fewer others, or alone
+        while len(some) > 1 and len(some) * len(sequences[some[-1]]) > 64 * WINDOW:
+            some = some[: len(some) // 2]
+        k += len(some)
         x, mask = _padded([sequences[i] for i in some])
         a = _forward(x, mask, model[0])[0]
         b = _forward(x[::-1], mask[::-1], model[1])[0][::-1]
@@ -347,16 +353,7 @@ def train(pages: int = 2400, epochs: int = 6, seed: int = 20240504) -> tuple[np.
 def main_texts(model, pages: list[str]) -> list[str]:
     """The main text of each page."""
     found = [blocks(p) for p in pages]
-    windows, where = [], []
-    for i, f in enumerate(found):
-        x = vectors(f)
-        for a in range(0, len(f), WINDOW):
-            lo, hi = max(0, a - OVERLAP), min(len(f), a + WINDOW + OVERLAP)
-            windows.append(x[lo:hi])
-            where.append((i, a - lo, min(WINDOW, len(f) - a)))
-    kept: list[list[bool]] = [[] for _ in pages]
-    for (i, skip, n), p in zip(where, probabilities(model, windows), strict=True):
-        kept[i] += (p[skip : skip + n] >= 0.5).tolist()
+    kept = [(p >= 0.5).tolist() for p in probabilities(model, [vectors(f) for f in found])]
     return ["\n\n".join(t for (t, _, _), k in zip(f, keep, strict=True) if k) for f, keep in zip(found, kept, strict=True)]
 
 
