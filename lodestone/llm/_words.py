@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _U = np.uint64
 #: White space of the word rule: space and the codes 9 to 13.
@@ -11,10 +12,9 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240501).integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
-_BACK = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = _inverse = np.ones(1, dtype=np.uint64)
+#: Longest span, in bytes, whose hash is mixed from its 8-byte parts here; longer ones go to xxhash one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,17 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n of the hash's base, and of its inverse modulo 2**64."""
-    global _powers, _inverse
-    if len(_powers) <= n:
-        tables = []
-        for base in (_STEP, _BACK):
-            grown = np.full(n + n // 4 + 1024, base, dtype=np.uint64)
-            grown[0] = 1
-            tables.append(np.cumprod(grown, dtype=np.uint64))
-        _powers, _inverse = tables
-    return _powers, _inverse
+def parts(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of data, as numbers; zeros follow its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,9 +53,16 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, the same wherever the span lies."""
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    p, back = powers(len(data))
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * p[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts])
+    length = ends - starts
+    view = parts(data)
+    out = mix(length.astype(np.uint64) * _STEP)
+    at = np.arange(len(starts))
+    for j in range(0, LONG, 8):
+        at = at[length[at] > j]
+        if not len(at):
+            break
+        rest = np.minimum(length[at] - j, 8).astype(np.uint64)
+        out[at] = mix(out[at] * _STEP ^ (view[starts[at] + j] & (~_U(0) >> (_U(64) - _U(8) * rest))))
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out

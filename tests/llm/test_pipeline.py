@@ -61,7 +61,7 @@ def test_stages(spark, tmp_path):
     before, after = by_name["line dedup"]
     # the two rows of id 205 are documents of their own; brute force takes unique ids, so they are left out of the comparison with it
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in after.collect()}
-    want = {d: t for d, (t, n) in lines(spark, [(d, t) for d, t, *_ in before if d < 205]).items() if not (n and t == "")}
+    want = {d: t for d, (t, n) in lines([(d, t) for d, t, *_ in before if d < 205]).items() if not (n and t == "")}
     assert {d: t for d, (t, _) in got.items() if d < 205} == want
     assert all(n == len(t) for t, n in got.values()) and 200 not in got
 
