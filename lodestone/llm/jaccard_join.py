@@ -29,6 +29,7 @@ _U = np.uint64
 BAND_RATIO = 1.4
 #: The chance that the cost model gives two unrelated sets to agree on an element.
 CHANCE = 0.05
+PARITY_SALT = _U(0x8BB84B93962EACC9)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -153,7 +154,7 @@ def parity(elements: np.ndarray) -> bytes:
     size = 64
     while size < 2 * len(elements):
         size *= 2
-    return np.packbits(np.bincount((W.mix(elements ^ _U(0x8BB84B93962EACC9)) & _U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
+    return np.packbits(np.bincount((W.mix(elements ^ PARITY_SALT) & _U(size - 1)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
 def apart(one: bytes, two: bytes) -> int:
