@@ -1,7 +1,7 @@
 """A cache of encoded pieces that is looked up for a whole slice of texts at once.
 
-Open addressing over 64-bit hashes of the pieces' bytes; a hit must also agree in length and in its first eight bytes, so pieces of up to eight bytes are told apart exactly and longer ones by 64 hashed
-bits besides. Only pieces that are not there yet reach Python. At `most` pieces the table starts afresh, so memory is bounded.
+Open addressing over 64-bit hashes of the pieces' bytes; a hit must also agree in length and in all of its bytes, so pieces of equal hashes are told apart. Only pieces that are not there yet reach Python.
+At `most` pieces, or when their bytes reach MOST_BYTES, the table starts afresh, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .pretokens import boundaries
 
 _U = np.uint64
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Bytes of pieces of more than eight bytes that a table keeps.
+MOST_BYTES = 16 << 20
 
 
 class PieceTable:
@@ -28,8 +30,27 @@ class PieceTable:
         self.row = np.zeros(self.slots, dtype=np.int32)
         self.head, self.size, self.start, self.count = np.zeros(1024, np.uint64), np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.rows, self.used = np.zeros(4096, dtype=self.kind), 0, 0
+        self.raw, self.raw_used, self.raw_start = np.zeros(4096, np.uint8), 0, np.zeros(1024, np.int64)
 
-    def _find(self, h: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _equal(self, row: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Whether pieces that lie in data at start are those of the rows, from their ninth byte on."""
+        out = np.ones(len(row), dtype=bool)
+        at = np.flatnonzero(size > 8)
+        if not len(at):
+            return out
+        kept = np.ndarray(len(self.raw) - 7, "<u8", self.raw, strides=(1,))
+        for j in range(8, W.LONG, 8):
+            at = at[out[at] & (size[at] > j)]
+            if not len(at):
+                return out
+            keep = _KEEP[np.minimum(size[at] - j, 8)]
+            out[at] = (words[start[at] + j] & keep) == (kept[self.raw_start[row[at]] + j] & keep)
+        for i in at[out[at] & (size[at] > W.LONG)].tolist():
+            a, b, n = int(start[i]), int(self.raw_start[row[i]]), int(size[i])
+            out[i] = np.array_equal(data[a : a + n], self.raw[b : b + n])
+        return out
+
+    def _find(self, h: np.ndarray, head: np.ndarray, size: np.ndarray, start: np.ndarray, data: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The row of each piece, -1 for unknown ones."""
         mask = _U(self.slots - 1)
         out = np.full(len(h), -1, dtype=np.int64)
@@ -38,14 +59,16 @@ class PieceTable:
             there = self.hash[slot]
             row = self.row[slot]
             same = (there == h[todo]) & (self.head[row] == head[todo]) & (self.size[row] == size[todo])
+            at = np.flatnonzero(same)
+            same[at] = self._equal(row[at], size[todo[at]], start[todo[at]], data, words)
             out[todo[same]] = row[same]
             go = ~same & (there != 0)
             todo, slot = todo[go], (slot[go] + 1) & (self.slots - 1)
         return out
 
-    def _add(self, h: np.ndarray, head: np.ndarray, size: np.ndarray, ids: list[np.ndarray]) -> None:
-        n = len(h)
-        for name in ("head", "size", "start", "count"):
+    def _add(self, h: np.ndarray, head: np.ndarray, size: np.ndarray, pieces: list[bytes]) -> None:
+        n, ids = len(h), self.encode(pieces)
+        for name in ("head", "size", "start", "count", "raw_start"):
             have = getattr(self, name)
             if self.rows + n > len(have):
                 setattr(self, name, np.concatenate([have, np.zeros(max(n, len(have) // 2), have.dtype)]))
@@ -56,6 +79,14 @@ class PieceTable:
         at = slice(self.rows, self.rows + n)
         self.head[at], self.size[at], self.count[at] = head, size, counts
         self.start[at] = self.used + np.cumsum(counts) - counts
+        long = [p if len(p) > 8 else b"" for p in pieces]
+        sizes = np.array([len(p) for p in long], dtype=np.int64)
+        self.raw_start[at] = self.raw_used + np.cumsum(sizes) - sizes
+        fresh = np.frombuffer(b"".join(long), np.uint8)
+        if self.raw_used + len(fresh) + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(fresh) + 8, len(self.raw) // 2), np.uint8)])
+        self.raw[self.raw_used : self.raw_used + len(fresh)] = fresh
+        self.raw_used += len(fresh)
         self.pool[self.used : self.used + len(flat)] = flat
         rows = np.arange(self.rows, self.rows + n, dtype=np.int32)
         self.rows, self.used = self.rows + n, self.used + len(flat)
@@ -82,23 +113,22 @@ class PieceTable:
         size = (ends - starts).astype(np.int32)
         h = W.hashes(data, starts, ends)
         h[h == 0] = 1
-        words = np.ndarray(len(data), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+        words = W.parts(data)
         head = words[starts] & _KEEP[np.minimum(size, 8)]
-        if self.rows > self.most:
+        if self.rows > self.most or self.raw_used > MOST_BYTES:
             self.reset()
-        rows = self._find(h, head, size)
+        rows = self._find(h, head, size, starts, data, words)
         lost = np.flatnonzero(rows < 0)
-        if len(lost):
-            key = W.mix(h[lost] ^ W.mix(head[lost] + size[lost].astype(np.uint64)))
-            _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        while len(lost):  # once; again where unequal pieces have one hash
+            _, first = np.unique(h[lost], return_index=True)
             new = lost[first]
-            before = self.rows
-            if before + len(new) > self.slots * 3 // 4:  # a single slice with more pieces than the table holds
-                self.slots = 1 << (2 * (before + len(new))).bit_length()
+            if self.rows + len(new) > self.slots * 3 // 4:  # a single slice with more pieces than the table holds
+                self.slots = 1 << (2 * (self.rows + len(new))).bit_length()
                 self.reset()
                 return self.ids(data, offsets)
-            self._add(h[new], head[new], size[new], self.encode([raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]))
-            rows[lost] = before + back
+            self._add(h[new], head[new], size[new], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            rows[lost] = self._find(h[lost], head[lost], size[lost], starts[lost], data, words)
+            lost = lost[rows[lost] < 0]
         counts = self.count[rows].astype(np.int64)
         done = np.cumsum(counts)
         flat = self.pool[np.repeat(self.start[rows] - (done - counts), counts) + np.arange(int(done[-1]))]

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from lodestone.llm import _words as W
 from lodestone.llm import bpe_codec, pretokens, token_store
 from lodestone.llm._shared import fresh_path, prepare
 
@@ -121,3 +122,38 @@ def test_token_files(spark):
     empty = fresh_path(spark, "test-empty")
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), empty, JSON)
     assert token_store.with_starts(token_store.read(spark, empty)).count() == 0
+
+
+def _thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(1 << n))
+
+
+def test_pieces_of_equal_hashes(library, monkeypatch):
+    """Pieces that sums of powers can't tell apart, then a hash that tells hardly any apart."""
+    texts = [x + _thue_morse(n, *y) for n in (4, 6, 10, 11, 12) for x in ("", "cccccccc") for y in ("ab", "ba")]
+    assert ids(texts) == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(W, "hashes", lambda data, a, b: np.asarray((b - a) % 3 + 1, dtype=np.uint64))
+    table = bpe_codec.PieceTable(bpe_codec.table(RANKS).encode, np.int32, most=500)
+    rng = random.Random(1)
+    many = [" ".join("".join(rng.choices("abé", k=rng.choice([2, 7, 8, 9, 15, 16, 17, 70]))) for _ in range(60)) for _ in range(8)]
+    for t in (many[:4], many[4:], many):
+        assert ids(t, table) == [library.encode_ordinary(x) for x in t]
+
+
+def test_registered_queries(spark, library, tmp_path):
+    from lodestone.llm import queries
+
+    rows = [(3, "The cat's hat. <|endoftext|>"), (1, None), (2, ""), (7, "x " * 3000), (5, "été 日本 " + _thue_morse(9, "a", "b")), (6, _thue_morse(9, "b", "a"))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op2_byte_level_bpe(spark, str(tmp_path)).collect()}
+    for d, t in rows:
+        want = library.encode_ordinary(t or "")
+        digest = hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert tuple(got[d]) == (d, len(want), digest, hashlib.sha256((t or "").encode()).hexdigest())
+    plain, at = Tokenizer.from_file(JSON), 0
+    plain.encode_special_tokens = True
+    found = {r["doc_id"]: tuple(r) for r in queries.op5_token_id_files(spark, str(tmp_path)).collect()}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        want = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
+        assert found[d] == (d, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
