@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +31,8 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SELF_CLOSING = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "th", "th": "td", "option": "option"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -40,102 +42,173 @@ INPUT = PATH + WORDS + NUMBERS
 WINDOW = 512
 
 
-def blocks(page: str) -> list[tuple[str, list[str], int]]:
-    """(text, tag path with attribute words, characters in links) of each block in page order."""
-    out: list[tuple[str, list[str], int]] = []
-    stack: list[tuple[str, list[str]]] = []
+@lru_cache(100_000)
+def _place(word: str, size: int) -> tuple[int, int]:
+    h = zlib.crc32(word.encode())
+    return h % size, 1 if h & 0x10000 else -1
+
+
+def tags(page: str):
+    """(begin, end, is an end tag, lower-cased name, attributes) of each tag; comments and declarations have no name. A raw element's content is for the reader to skip, by sending where to go on.
+
+    Time is linear in the page: of marks behind which no tag ends, each is looked at once."""
+    last, lost, at = page.rfind(">"), set(), 0
+    while (begin := page.find("<", at)) >= 0:
+        at, name = begin + 1, _NAME.match(page, begin + 1)
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            end, name = (end + 3 if end >= 0 else len(page)), None
+        elif begin > last:  # no tag ends any more
+            return
+        elif page.startswith(("!", "?"), at):
+            end, name = page.find(">", at) + 1, None
+        elif name:
+            end, seen = name.end(), []
+            while True:  # over quoted values to the end
+                mark = _SPECIAL.search(page, end)
+                if mark is None or mark.start() in lost:
+                    end = -1
+                    break
+                seen.append(mark.start())
+                if mark[0] == ">":
+                    end = mark.end()
+                    break
+                end = page.find(mark[0], mark.end()) + 1
+                if not end:
+                    end = -1
+                    break
+            if end < 0:
+                lost.update(seen)
+                continue
+        else:
+            continue
+        word = name[0].lower() if name else ""
+        to = yield begin, end, word.startswith("/"), word.lstrip("/"), page[name.end() : end - 1] if name else ""
+        at = max(end, to or 0)
+
+
+class _Open:
+    """The open elements, and what is asked of them, kept up as they come and go."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, list[str]]] = []
+        self.count: Counter[str] = Counter()
+        self.unread = 0
+        self.path = [0] * PATH
+
+    def push(self, name: str, words: list[str]) -> None:
+        self.stack.append((name, words))
+        self.count[name] += 1
+        self.unread += name in UNREAD
+        self._add(words, 1)
+
+    def _add(self, words: list[str], by: int) -> None:
+        for w in words:
+            k, sign = _place(w, PATH)
+            self.path[k] += sign * by
+
+    def pop_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            name, words = self.stack.pop()
+            self.count[name] -= 1
+            self.unread -= name in UNREAD
+            self._add(words, -1)
+
+    def close(self, *names: str, within: tuple[str, ...] = ()) -> None:
+        """Closes the innermost element of these names, and all in it, if it is not outside an element of `within`."""
+        if any(self.count[n] for n in names):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k][0] in within:
+                    return
+                if self.stack[k][0] in names:
+                    return self.pop_to(k)
+
+    def nearest(self) -> list[str]:
+        """The innermost four words of the path."""
+        out: list[str] = []
+        for _, words in reversed(self.stack):
+            out += reversed(words)
+            if len(out) >= 4:
+                break
+        return out[:4]
+
+
+def blocks(page: str) -> list[tuple[str, np.ndarray, int]]:
+    """(text, vector of the tag path with attribute words, characters in links) of each block in page order."""
+    out: list[tuple[str, np.ndarray, int]] = []
     parts: list[str] = []
-    state = {"links": 0}
+    opened, links = _Open(), 0
 
     def flush() -> None:
+        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, [w for _, words in stack if words for w in words], state["links"]))
+                path = [0.7 * x for x in opened.path]
+                for word in opened.nearest():
+                    k, sign = _place(word, PATH)
+                    path[k] += 0.3 * sign
+                out.append((text, np.array(path, np.float32), links))
             parts.clear()
-        state["links"] = 0
-
-    def close(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-
-    at = unread = 0
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and not unread:
-            text = page[at : m.start()]
-            parts.append(text)
-            if any(n == "a" for n, _ in stack):
-                state["links"] += len(text)
-        at = m.end()
-        name = (m[2] or "").lower()
+        links = 0
+
+    at, found, to = 0, tags(page), None
+    while True:
+        try:
+            begin, end, ends, name, attributes = found.send(to)
+        except StopIteration:
+            break
+        to = None
+        if begin > at and not opened.unread:
+            parts.append(page[at:begin])
+            if opened.count["a"]:
+                links += begin - at
+        at = end
         if not name:
             continue
-        if m[1]:  # an end tag
-            if name in INLINE or name == "a":
-                close(name)
+        if ends:
+            if name in INLINE:
+                opened.close(name)
                 continue
             flush()
-            if name == "p" and not any(n == "p" for n, _ in stack):
-                continue
-            close(name)
-            unread = sum(n in UNREAD for n, _ in stack)
+            opened.close(name)
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name not in INLINE:
             flush()
-            if name in CLOSES_P and any(n == "p" for n, _ in stack):
-                close("p")
+            if name in CLOSES_P:
+                opened.close("p")
             if name in SELF_CLOSING:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
-                    if stack[k][0] in (name, SELF_CLOSING[name]):
-                        del stack[k:]
-                        break
-        if name in VOID or m[3].endswith("/"):
+                opened.close(name, SELF_CLOSING[name], within=("ul", "ol", "dl", "table", "select"))
+        if name in VOID or attributes.endswith("/"):
+            continue
+        if name in RAW:
+            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = to = page.find(">", close.end()) + 1 or len(page) if close else len(page)
             continue
         words = []
         if name not in INLINE:
             words.append("<" + name)
-            for a in _ATTRIBUTE.finditer(m[3]):
+            for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
                 if key in ("class", "id", "role"):
                     words += _WORD.findall(value)
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     words.append("hidden!")
-        stack.append((name, words))
-        if name in UNREAD:
-            unread += 1
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            stack.pop()
-            unread -= 1
-    if at < len(page) and not unread:
+        opened.push(name, words)
+    if at < len(page) and not opened.unread:
         parts.append(page[at:])
     flush()
     return out
 
 
-@lru_cache(100_000)
-def _place(word: str, size: int) -> tuple[int, float]:
-    h = zlib.crc32(word.encode())
-    return h % size, 1.0 if h & 0x10000 else -1.0
-
-
-def vectors(found: list[tuple[str, list[str], int]]) -> np.ndarray:
+def vectors(found: list[tuple[str, np.ndarray, int]]) -> np.ndarray:
     x = np.zeros((len(found), INPUT), dtype=np.float32)
     for i, (text, path, links) in enumerate(found):
         row = x[i]
-        for depth, word in enumerate(reversed(path)):
-            k, sign = _place(word, PATH)
-            row[k] += sign * (1.0 if depth < 4 else 0.7)
+        row[:PATH] = path
         words = text.lower().split()
         said = row[PATH : PATH + WORDS]
         for word in words:

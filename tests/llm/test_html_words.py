@@ -6,7 +6,7 @@ from lodestone.llm import html_blocks as H
 
 
 def _said(text):
-    return H.vectors([(text, ["<p"], 0)])[0][H.PATH : H.PATH + H.WORDS]
+    return H.vectors([(text, np.zeros(H.PATH, np.float32), 0)])[0][H.PATH : H.PATH + H.WORDS]
 
 
 def test_words_after_the_twelfth_count():
