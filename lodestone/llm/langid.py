@@ -6,7 +6,7 @@ kernel. Scoring multiplies a batch's presence matrix with the landmarks' and the
 
 Training rows are bounded: about `per_lang` rows of each language, chosen by a hash of the id; only bit sets of GRAMS bits reach the driver.
 
-Cases: a null text, or one without a letter, is `und` with score 0; whole texts are read, however long; repeated rows get equal results; without any training row every text with a letter is `und`; other columns are left out.
+Cases: a null text, or one without a letter, is `und` with score 0; whole texts are read, however long; repeated rows get equal results; without any training row every text with a letter is `und`; a null id is in no fold and not held out; other columns are left out by identify, and pass in predict but for those of the result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -105,32 +105,31 @@ def fit(docs: DataFrame, per_lang: int = 600, landmarks: int = 128, ridge: float
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score beside, under those names; only the text is looked at."""
+    """docs with the predicted language and its score beside, under those names (columns that had them are replaced); only the text is looked at, and only it leaves the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS x m, whatever the data
-    names = docs.columns
-    at = names.index("text")
+    found = "lodestone language"  # a name that columns of docs do not have
 
-    def run(batches):
+    @F.arrow_udf("lang string, score double")
+    def label(texts: pa.Array) -> pa.Array:
         model = shared.value
-        for batch in batches:
-            for part, _, _ in text_slices(batch, "text"):
-                texts = [t or "" for t in part.column(at).to_pylist()]
-                langs, scores = [], []
-                for i in range(0, len(texts), BATCH):
-                    matrix, has = presence(texts[i : i + BATCH])
-                    if not model.langs:
-                        has[:] = False
-                    p = model.scores(matrix) if model.langs else np.zeros((len(has), 1))
-                    langs += [model.langs[k] if h else "und" for k, h in zip(p.argmax(axis=1), has, strict=True)]
-                    scores += np.where(has, p.max(axis=1), 0).astype(np.float64).tolist()
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, lang, score])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, `{lang}` string, `{score}` double")
+        langs, scores = [], []
+        for part, _, _ in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            rows = [t or "" for t in part.column(0).to_pylist()]
+            for i in range(0, len(rows), BATCH):
+                matrix, has = presence(rows[i : i + BATCH])
+                if not model.langs:
+                    has[:] = False
+                p = model.scores(matrix) if model.langs else np.zeros((len(has), 1))
+                langs += [model.langs[k] if h else "und" for k, h in zip(p.argmax(axis=1), has, strict=True)]
+                scores += np.where(has, p.max(axis=1), 0).astype(np.float64).tolist()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (lang, score)]
+    return docs.withColumn(found, label("text")).select(*rest, F.col(f"`{found}`.lang").alias(lang), F.col(f"`{found}`.score").alias(score))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learnt from the rows outside fold 0, predicted for all."""
     model = fit(docs.select("doc_id", "text", "lang").where(crc_fold() != 0))
-    rows = docs.select("doc_id", (crc_fold() == 0).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out"), "text")
     return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
