@@ -4,12 +4,15 @@ The rules are neutral and are parameters. Boundaries are ASCII, spelt out, as Ja
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LEFT, RIGHT, html_to_prose
+from ..sources.documents import walk
 
-# Shapes by rule. Each is (rule, pattern, least length of a hit).
+# Shapes by rule, each as (rule, pattern, least length of a hit); the most words of a quoted span and of all spans of a text; what a quoted span is.
 RULES = [
     ("digit-run", LEFT + "[0-9]{8,}" + RIGHT, 0),
     ("camel-case", LEFT + "[a-z]+(?:[A-Z][a-z0-9]+){2,}" + RIGHT, 12),
@@ -24,6 +27,30 @@ SPAN_WORDS, TEXT_WORDS = 15, 40
 QUOTE = "[\"“]([^\"”]{2,})[\"”]"
 
 
+def _any_of(names: list[str]) -> str:
+    return "(?:" + "|".join(re.escape(n) for n in names) + ")"
+
+
+def prefixed(prefixes: list[str]) -> tuple[str, str, int]:
+    """Identifiers that begin with one of these prefixes and go on in lower-case letters, digits and _."""
+    return "prefixed", LEFT + _any_of(prefixes) + "[a-z0-9_]+" + RIGHT, 0
+
+
+def namespaced(spaces: list[str] | None = None) -> tuple[str, str, int]:
+    """Identifiers a__b, of these namespaces or of any."""
+    return "namespaced", LEFT + (_any_of(spaces) if spaces else "[a-z][a-z0-9]*") + "__[a-z][a-z0-9_]*" + RIGHT, 0
+
+
+def called(symbols: list[str]) -> tuple[str, str, int]:
+    """Curated symbols before an opening bracket, which is no part of the hit."""
+    return "called", LEFT + _any_of(symbols) + "(?=[(])", 0
+
+
+def worded(words: list[str]) -> tuple[str, str, int]:
+    """Curated words, letters of any case."""
+    return "worded", "(?i)" + LEFT + _any_of(words) + RIGHT, 0
+
+
 def scan(texts: DataFrame, rules=None, never=None, allow=None) -> DataFrame:
     """(id, rule, hit) of texts(id, text): each shape's hits but those allowed, and the never list's entries, which no allowance covers."""
     rules, never, allow = rules if rules is not None else RULES, never if never is not None else NEVER, allow if allow is not None else ALLOW
@@ -46,8 +73,10 @@ def quotes(texts: DataFrame, key: str = "id") -> DataFrame:
 
 
 def scope(files: DataFrame) -> DataFrame:
-    """files(id, ext, content) as (id, text) to scan: prose of HTML, string values of JSON, all else as it is; JSON that cannot be read is scanned raw."""
-    parsed = F.try_parse_json("content")
-    strings = F.array_join(F.regexp_extract_all("content", F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?=[,}\]]|$)'), F.lit(1)), "\n")
-    text = F.when(F.col("ext") == "html", html_to_prose(F.col("content"))).when((F.col("ext") == "json") & parsed.isNotNull(), strings).otherwise(F.col("content"))
-    return files.select("id", text.alias("text"))
+    """files(id, ext, content) as (id, text) to scan: prose of HTML, string values of JSON with their escapes read, all else as it is; JSON that cannot be read is scanned raw. Ids are unique."""
+    json = files.where("ext = 'json'").select("id", "content", F.try_parse_json("content").isNotNull().alias("whole"))
+    strings = walk(json.where("whole"), "id", "content").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]), "\n").alias("text"))  # a file's own strings
+    read = json.where("whole").select("id").join(strings, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
+    raw = json.where("not whole").select("id", F.col("content").alias("text"))
+    plain = files.where("ext is null or ext <> 'json'").select("id", F.when(F.col("ext") == "html", html_to_prose(F.col("content"))).otherwise(F.col("content")).alias("text"))
+    return plain.unionByName(read).unionByName(raw)

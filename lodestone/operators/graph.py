@@ -16,13 +16,35 @@ def neighbours(seeds: DataFrame, edges: DataFrame, threshold: float = 0.78, best
     return first.select("dst", "relevance", F.col("src").alias("via"), "reason", "seed_pos", "pos")
 
 
+def titled(rows: DataFrame, id_column: str, titles: DataFrame) -> DataFrame:
+    """rows with `title`, that of titles(id, title) or, where there is none, a default that names the id."""
+    named = rows.join(titles.select(F.col("id").alias(id_column), "title"), id_column, "left")
+    return named.withColumn("title", F.coalesce("title", F.concat(F.lit("Section "), F.col(id_column).cast("string"))))
+
+
 def symptoms(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, symptom, matched array) of texts(id, text) that contain one of a symptom's patterns(symptom, pattern array), letters of any case.
+    """(id, symptom, matched array) of texts(id, text) that contain one of a symptom's patterns(symptom, pattern array), letters of any case, patterns in their order.
 
-    Patterns are a curated list; they are broadcast while small, which Spark checks, and nested-loop joined otherwise."""
-    hit = F.filter("pattern", lambda p: F.contains("low", F.lower(p)))
+    A pattern of three words or more has a word with blanks on both sides, and a text that contains the pattern has that word between blanks too; its longest such word leads pattern and text together. Patterns
+    without one are compared with every text; both are joins that Spark plans by checked sizes. Ids of texts are unique."""
     low = texts.select("id", F.lower("text").alias("low"))
-    return low.crossJoin(patterns).select("id", "symptom", hit.alias("matched")).where(F.size("matched") > 0)
+    single = patterns.select("symptom", F.posexplode("pattern").alias("pos", "pattern")).withColumn("p", F.lower("pattern"))
+    words = F.split("p", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = single.withColumn("word", longest)
+    led = keyed.where("word is not null")
+    words_of = low.select("id", F.explode(F.array_distinct(F.split("low", " "))).alias("word"))
+    met = words_of.join(led, "word").drop("word").join(low, "id").where(F.contains("low", F.col("p")))
+    rest = low.join(keyed.where("word is null").drop("word"), F.contains("low", F.col("p")))
+    hits = met.select("id", "symptom", "pos", "pattern").unionByName(rest.select("id", "symptom", "pos", "pattern"))
+    return hits.groupBy("id", "symptom").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pattern"))), lambda x: x["pattern"]).alias("matched"))
+
+
+def diagnoses(found: DataFrame, lessons: DataFrame, titles: DataFrame) -> DataFrame:
+    """(id, symptom, matched, hint, lesson, title): symptoms() with the hint and each of the lessons(symptom, hint, lesson array) that help, with their titles or defaults."""
+    rows = found.join(lessons, "symptom").select("id", "symptom", "matched", "hint", F.explode("lesson").alias("lesson"))
+    return titled(rows, "lesson", titles)
 
 
 def fetch(sections: DataFrame) -> DataFrame:
@@ -34,10 +56,16 @@ def fetch(sections: DataFrame) -> DataFrame:
 
 
 def listing(sections: DataFrame) -> DataFrame:
-    """(file, first_ord, sections, ids): sections by file, in order of first appearance."""
+    """(file, first_ord, sections, ...): sections by file, with the order of first appearance."""
     return sections.groupBy("file").agg(F.min("ord").alias("first_ord"), F.count("*").alias("sections"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("line_count").alias("lines"))
 
 
+def nested(sections: DataFrame, group: str, *fields: str) -> DataFrame:
+    """(group, first_ord, items): a group's rows in order, groups numbered by first appearance. A group is a file's sections or a site part's pages, which are bounded by what a reader is shown."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return sections.groupBy(group).agg(F.min("ord").alias("first_ord"), items.alias("items"))
+
+
 def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The union of two sources, one row for each key, the first source's where both have it."""
     rows = first.withColumn("_p", F.lit(0)).unionByName(second.withColumn("_p", F.lit(1)))

@@ -44,9 +44,40 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+#: Ids, and steps of a score, that one part of a ranking spans.
+RANK_IDS, RANK_STEPS = 1 << 16, 1_000_000
+
+
+def ranked_by_count(rows: DataFrame, count: str) -> DataFrame:
+    """rows(id, count) with their rank by count, then id. No task sees all rows: each part holds one count and a range of ids, and only the parts' sizes are added up in one place."""
+    parts = rows.withColumn("_part", F.floor(F.col("id") / RANK_IDS))
+    return _ranked_parts(parts, [F.desc(count), F.asc("_part")], [count, "_part"], [F.asc("id")])
+
+
+def ranked_by_score(rows: DataFrame, score: str, then: str) -> DataFrame:
+    """rows(score, then) with their rank by the score, then a column that breaks ties; each part holds a small range of scores."""
+    return _ranked_parts(rows.withColumn("_part", F.floor(F.col(score) * RANK_STEPS)), [F.desc("_part")], ["_part"], [F.desc(score), F.asc(then)])
+
+
+def _ranked_parts(rows: DataFrame, order: list[Column], key: list[str], inner: list[Column]) -> DataFrame:
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranks = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(*inner))).join(before, key)
+    return ranks.withColumn("rank", (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_part")
+
+
+def composed(sections: DataFrame, keywords: DataFrame, related: DataFrame) -> DataFrame:
+    """sections(id, ord, title, description) with `text` of title, keywords(id, keyword), description and the topics of related(id, topic), as an index reads it; what is missing is left out."""
+    words = keywords.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("keyword")), " ").alias("_words"))
+    topics = related.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("topic")), " ").alias("_topics"))
+    both = sections.join(words, "id", "left").join(topics, "id", "left")
+    return both.withColumn("text", F.concat_ws(" ", "title", "_words", "description", "_topics")).drop("_words", "_topics")
+
+
 def term_counts(sections: DataFrame) -> DataFrame:
-    """(id, term, tf)."""
-    return sections.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf). Words are exploded before short and stop words go, so that the tests are compiled and no array is built twice."""
+    words = sections.select("id", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " ")).alias("term"))
+    return words.where((F.length("term") > 1) & ~F.col("term").isin(STOP_WORDS)).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def idf_table(counts: DataFrame, total: int) -> DataFrame:
@@ -147,8 +178,9 @@ class Index:
         """The fused ranking: limit first, then titles, so a missing section shortens the result."""
         if top < 1:
             raise ValueError("top must be at least 1")
-        kw = ranked(self.keyword(query), F.desc("hits"), F.asc("id")).select("id", F.col("rank").alias("keyword_rank"))
-        tf = ranked(self.semantic(query).join(self.sections.select("id", "ord"), "id"), F.desc(F.round("score", 9)), F.asc("ord")).select("id", F.col("rank").alias("tfidf_rank"))
+        kw = ranked_by_count(self.keyword(query), "hits").select("id", F.col("rank").alias("keyword_rank"))
+        scored = self.semantic(query).withColumn("score", F.round("score", 9)).join(self.sections.select("id", "ord"), "id")
+        tf = ranked_by_score(scored, "score", "ord").select("id", F.col("rank").alias("tfidf_rank"))
         one, two = F.col("keyword_rank"), F.col("tfidf_rank")
         share = lambda r: F.coalesce(1.0 / (RRF_K + r), F.lit(0.0))
         fused = kw.join(tf, "id", "full").withColumn("rrf", share(one) + share(two))

@@ -38,7 +38,7 @@ def _headers(t):
 
 
 def _arrays(t):
-    return t["conversations"].withColumn("words", F.slice(T.tokens(F.col("text"), []), 1, 3)).withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    return t["conversations"].withColumn("words", T.tokens(F.col("text"), [])).withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
 
 _TOK = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) > 1)"
@@ -100,7 +100,7 @@ def html_prose(spark, sf):
 
 def json_strings(spark, sf):
     rows = table(spark, sf, "events").select("event_id", F.to_json(F.struct("event_type", F.struct(F.array("event_type", F.lit("x")).alias("list")).alias("deep"))).alias("j"))
-    return walk(rows, "event_id", "j", 5)
+    return walk(rows, "event_id", "j")
 
 
 def prose_unpivot(spark, sf):
@@ -121,12 +121,22 @@ def _required(t):
     return rules.required(t["orders"].withColumn("note", F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise("x")), "o_orderkey", ["o_orderpriority", "note"])
 
 
+_NUMBER = "[0-9][0-9.]*[0-9]"
+_TYPE_SQL = f"select 'V3' as rule_id, 'fail' as severity, doc_id::varchar as entity, 'numbers' as field, v as hit from (select doc_id, unnest(regexp_extract_all(text, '{_NUMBER}', 0)) as v from documents) where contains(v, '.')"
+
+
+def dq_type(spark, sf):
+    """Every number-like word of every text that is no whole number."""
+    numbers = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_NUMBER), F.lit(0))).alias("numbers"))
+    return rules.run([rules.Rule("V3", lambda t: rules.finding(numbers, T.integer(F.col("numbers")).isNull(), "doc_id", "numbers"))], {})
+
+
 _SUMMED = [("V4", _enum, "fail"), ("V2", _required, "flag")]
 
 QUERIES = {
-    "dq_constant": _rule("V1", lambda t: rules.constant(t["lineitem"].where("l_linenumber > 5"), "l_orderkey", "l_linenumber", 7), "select l_orderkey::varchar as entity, 'l_linenumber' as field, l_linenumber::varchar as hit from lineitem where l_linenumber > 5 and l_linenumber is distinct from 7"),
+    "dq_constant": _rule("V1", lambda t: rules.constant(t["lineitem"], "l_orderkey", "l_linenumber", 7), "select l_orderkey::varchar as entity, 'l_linenumber' as field, l_linenumber::varchar as hit from lineitem where l_linenumber is distinct from 7"),
     "dq_required": _rule("V2", _required, "select o_orderkey::varchar as entity, 'note' as field, null::varchar as hit from orders where o_orderpriority = '5-LOW'"),
-    "dq_type": _rule("V3", lambda t: rules.finding(t["documents"], T.integer(F.regexp_extract("text", "([0-9][0-9.]*[0-9])", 1)).isNull() & F.col("text").rlike("[0-9][0-9.]*[0-9]"), "doc_id", "text", F.regexp_extract("text", "([0-9][0-9.]*[0-9])", 1)), "select doc_id::varchar as entity, 'text' as field, v as hit from (select doc_id, regexp_extract(text, '([0-9][0-9.]*[0-9])', 1) as v from documents) where v <> '' and contains(v, '.')"),
+    "dq_type": (dq_type, _TYPE_SQL),
     "dq_enum": _rule("V4", _enum, "select o_orderkey::varchar as entity, 'o_orderstatus' as field, o_orderstatus as hit from orders where o_orderstatus is null or o_orderstatus not in ('F', 'O')"),
     "dq_prefix_by_kind": _rule("V5", _kinds, "select p_partkey::varchar as entity, 'p_brand' as field, p_brand as hit from part where not starts_with(p_brand, case when p_size > 25 then 'Brand#1' else 'Brand#' end)"),
     "dq_conditional": _rule("V6", lambda t: rules.conditional(t["orders"].withColumn("closed", F.when(F.col("o_totalprice") > 100000, "y")), "o_orderkey", F.col("o_orderstatus") == "F", "closed"), "select o_orderkey::varchar as entity, 'closed' as field, null::varchar as hit from orders where o_orderstatus = 'F' and not coalesce(o_totalprice > 100000, false)"),
@@ -138,8 +148,8 @@ QUERIES = {
     "dq_struct_by_namespace": _rule("V12", lambda t: rules.finding(t["labels"].withColumn("obs", F.when(F.col("toxic") == 1, "x")), F.col("quality").eqNullSafe(1) == F.col("obs").isNull(), "doc_id", "quality"), "select doc_id::varchar as entity, 'quality' as field, quality::varchar as hit from labels where coalesce(quality = 1, false) = (toxic is distinct from 1)"),
     "dq_consistent": _rule("V13", lambda t: rules.consistent(t["lineitem"], "l_orderkey", "l_returnflag", F.col("l_linestatus") == "O", F.col("l_returnflag") == "N"), "select l_orderkey::varchar as entity, 'l_returnflag' as field, l_returnflag as hit from lineitem where l_linestatus = 'O' and not coalesce(l_returnflag = 'N', false)"),
     "dq_snapshot_identity": _rule("V14", lambda t: rules.same_as_header(t["orders"].withColumn("as_of", F.date_format("o_orderdate", "yyyy")), "o_orderkey", "as_of", t["orders"].agg(F.date_format(F.max("o_orderdate"), "yyyy").alias("stamp")), "stamp"), "select o_orderkey::varchar as entity, 'as_of' as field, strftime(o_orderdate, '%Y') as hit from orders where strftime(o_orderdate, '%Y') is distinct from (select strftime(max(o_orderdate), '%Y') from orders)"),
-    "dq_sorted_array": _rule("V15", lambda t: rules.sorted_array(_arrays(t), "key", "words"), f"select conv_id || '/' || turn as entity, 'words' as field, array_to_string(w, ',') as hit from (select conv_id, turn, ({_TOK})[1:3] as w from conversations) where w <> list_sort(w)"),
-    "dq_contained": _rule("V16", lambda t: rules.contained(_arrays(t).withColumn("newest", F.lit("the")), "key", "newest", "words"), f"select conv_id || '/' || turn as entity, 'newest' as field, 'the' as hit from (select conv_id, turn, ({_TOK})[1:3] as w from conversations) where not list_contains(w, 'the')"),
+    "dq_sorted_array": _rule("V15", lambda t: rules.sorted_array(_arrays(t), "key", "words"), f"select conv_id || '/' || turn as entity, 'words' as field, array_to_string(w, ',') as hit from (select conv_id, turn, {_TOK} as w from conversations) where w <> list_sort(w)"),
+    "dq_contained": _rule("V16", lambda t: rules.contained(_arrays(t).withColumn("newest", F.lit("the")), "key", "newest", "words"), f"select conv_id || '/' || turn as entity, 'newest' as field, 'the' as hit from (select conv_id, turn, {_TOK} as w from conversations) where not list_contains(w, 'the')"),
     "dq_headers_equal": _rule("V17", _headers, _HEADERS),
     "dq_line_anchor": _rule("V18", _anchors, f"select file as entity, 'start_line' as field, line as hit from (select * from ({'with ' + _LINES + ' select * from l'})) where line_no = 2 and not regexp_matches(line, '^[A-Z]')"),
     "dq_quarantine": _rule("V19", lambda t: rules.only_on(t["orders"], "o_orderkey", F.col("o_orderstatus") == "P", "o_orderpriority", "5-LOW"), "select o_orderkey::varchar as entity, 'o_orderpriority' as field, o_orderpriority as hit from orders where o_orderstatus = 'P' and o_orderpriority is distinct from '5-LOW'"),

@@ -49,12 +49,12 @@ def semantic_top(spark, sf):
 
 def keyword_search(spark, sf):
     hits = search.keyword_hits(search.postings(sections(spark, sf)), search.query_tokens(LOOKUP, []))
-    return search.ranked(hits, F.desc("hits"), F.asc("id"))
+    return search.ranked_by_count(hits, "hits")
 
 
 def keyword_lookup(spark, sf):
     hits = search.keyword_hits(search.postings(sections(spark, sf)), LOOKUP.split(" "), raw=True)
-    return search.ranked(hits, F.desc("hits"), F.asc("id"))
+    return search.ranked_by_count(hits, "hits")
 
 
 def query_expansion(spark, sf):
@@ -111,7 +111,7 @@ select dst, relevance, src as via from (select *, row_number() over (partition b
 
 
 def symptom_match(spark, sf):
-    patterns = table(spark, sf, "benchmark").select(F.col("item_id").alias("symptom"), F.filter(F.split("text", "\n"), lambda x: F.length(x) >= 20).alias("pattern"))
+    patterns = table(spark, sf, "benchmark").select(F.col("item_id").alias("symptom"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("pattern"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     return graph.symptoms(docs, patterns).select("id", "symptom", F.size("matched").cast("long").alias("matched"))
 
@@ -176,7 +176,8 @@ def version_check(spark, sf):
 
 def _snapshots(spark, sf):
     events = table(spark, sf, "events")
-    half = events.count() // 2
+    half = F.expr("n div 2")
+    events = events.crossJoin(F.broadcast(events.agg(F.count("*").alias("n"))))  # one row
     last = lambda rows: diff.last_wins(rows, ["user_id", "event_type"], "value", "event_id")
     return last(events.where(F.col("event_id") < half)), last(events.where(F.col("event_id") >= half))
 
@@ -195,8 +196,9 @@ def snapshot_summary(spark, sf):
 
 
 def snapshot_set_diff(spark, sf):
+    """Words of documents of even ids, as the old snapshot, against those of odd ids, as the new one."""
     docs = table(spark, sf, "documents")
-    one, two = (docs.where(F.col("source") == s).select(F.explode(T.tokens(F.col("text"))).alias("term")) for s in ("src1", "src2"))
+    one, two = (docs.where(F.col("doc_id") % 2 == k).select(F.explode(T.tokens(F.col("text"))).alias("term")) for k in (0, 1))
     return diff.set_diff(one, two, ["term"])
 
 
@@ -217,7 +219,8 @@ def extracted_identifiers(spark, sf):
 def embedding_topk(spark, sf):
     """Exact cosine neighbours of three vectors; an extension, not one of the reference's own operators."""
     best = _edges(spark, sf, SEEDS)
-    return search.ranked(best, F.desc("relevance"), F.asc("src"), F.asc("dst")).limit(10).select("src", "dst", "relevance", "rank")
+    order = F.desc("relevance"), F.asc("src"), F.asc("dst")
+    return search.ranked(best.orderBy(*order).limit(10), *order).select("src", "dst", "relevance", "rank")
 
 
 _FAMILY_SQL = " union all ".join(f"select doc_id, '{n}' as family, unnest(list_distinct(regexp_extract_all(text, '{p}', 0))) as value from documents" for n, p in FAMILIES.items())
@@ -252,7 +255,7 @@ case when keyword_rank is not null and tfidf_rank is not null then 'both layers'
     "neighbour_expansion_best": (_neighbours(True), _neighbours_sql("relevance desc, seed_pos, dst")),
     "symptom_match": (
         symptom_match,
-        "with p as (select item_id as symptom, list_filter(string_split(text, chr(10)), lambda x: length(x) >= 20) as pattern from benchmark), m as (select doc_id as id, symptom, len(list_filter(pattern, lambda x: contains(lower(text), lower(x)))) as matched from documents, p) select id, symptom, matched from m where matched > 0",
+        "with p as (select item_id as symptom, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as pattern from benchmark), m as (select doc_id as id, symptom, len(list_filter(pattern, lambda x: contains(lower(text), lower(x)))) as matched from documents, p) select id, symptom, matched from m where matched > 0",
     ),
     "section_fetch": (
         section_fetch,
@@ -289,7 +292,7 @@ case when keyword_rank is not null and tfidf_rank is not null then 'both layers'
     "snapshot_summary": (snapshot_summary, f"with {_SNAP}, {_DIFF} select status, count(*) as n from d group by status"),
     "snapshot_set_diff": (
         snapshot_set_diff,
-        f"with a as (select distinct unnest({_TOKENS.format('text')}) as term from documents where source = 'src1'), b as (select distinct unnest({_TOKENS.format('text')}) as term from documents where source = 'src2') select coalesce(a.term, b.term) as term, case when a.term is null then 'added' when b.term is null then 'removed' else 'unchanged' end as status from a full join b on a.term = b.term",
+        f"with a as (select distinct unnest({_TOKENS.format('text')}) as term from documents where doc_id % 2 = 0), b as (select distinct unnest({_TOKENS.format('text')}) as term from documents where doc_id % 2 = 1) select coalesce(a.term, b.term) as term, case when a.term is null then 'added' when b.term is null then 'removed' else 'unchanged' end as status from a full join b on a.term = b.term",
     ),
     "unconfirmed_additions": (unconfirmed_additions, f"with {_SNAP}, {_DIFF} select user_id, event_type from d where status = 'added' and (user_id, event_type) not in (select (user_id, event_type) from events where value > 50)"),
     "extracted_identifiers": (extracted_identifiers, _FAMILY_SQL),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json as _json
+import os as _os
+from pathlib import Path as _Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,13 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.md", without: str
     return rows.where(F.col("file") != without) if without else rows
 
 
+def files_below(spark: SparkSession, path: str, endings: list[str], without: str | None = None) -> DataFrame:
+    """(path, content) of all files below a directory with one of several endings, one name left out."""
+    rows = spark.read.option("pathGlobFilter", "*.{" + ",".join(endings) + "}").option("recursiveFileLookup", True).text(path, wholetext=True)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return rows.where(F.element_at(F.split("path", "/"), -1) != without) if without else rows
+
+
 def lossy_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content) with a replacement character for each run of bad bytes."""
     rows = spark.read.format("binaryFile").load(path)
@@ -62,18 +71,25 @@ def front_list(value: Column) -> Column:
     return F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<bigint>"))
 
 
-def walk(rows: DataFrame, id_column: str, json_column: str, deepest: int = 12) -> DataFrame:
-    """(id, path, value): every string value of a JSON text at any depth up to `deepest`, by exploding VARIANT values level by level, without a UDF."""
+def walk(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
+    """(id, path, value): every string value of a JSON text at any depth, by exploding VARIANT values level by level, without a UDF; levels end where no row has a deeper one, which a job finds out."""
     level = rows.select(id_column, F.lit("$").alias("path"), F.try_parse_json(json_column).alias("v")).where("v is not null")
     out = None
-    for _ in range(deepest):
+    while True:
         kind = F.schema_of_variant("v")
         strings = level.where(kind == "STRING").select(id_column, "path", F.try_variant_get("v", "$", "string").alias("value"))
         out = strings if out is None else out.unionByName(strings)
         inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
         step = "concat(path, case when t.key is null then concat('[', t.pos, ']') else concat('.', t.key) end) as path"
         level = rows.sparkSession.sql(f"select `{id_column}`, {step}, t.value as v from {{inner}}, lateral variant_explode(v) as t", inner=inner)
-    return out
+        if level.isEmpty():
+            return out
+
+
+def payload_field(payload: Column, field: str) -> Column:
+    """A string field of an event's JSON payload; of a payload that cannot be read, what a pattern finds."""
+    found = F.regexp_extract(payload, f'"{field}"[ \\t]*:[ \\t]*"([^"]*)"', 1)
+    return F.when(F.try_parse_json(payload).isNotNull(), F.get_json_object(payload, f"$.{field}")).otherwise(F.when(found != "", found))
 
 
 def write_index_document(rows: DataFrame, path: str) -> None:
@@ -86,8 +102,37 @@ def write_lines(rows: DataFrame, line: Column, path: str) -> None:
 
 
 def write_artefacts(artefacts: DataFrame, path: str) -> None:
-    """artefacts(rel, ext, content) as text, a directory for each ending; what was there before goes."""
-    artefacts.select("ext", F.concat_ws("\t", "rel", F.base64(F.col("content").cast("binary"))).alias("value")).write.mode("overwrite").partitionBy("ext").text(path)
+    """artefacts(rel, content): one file for each row, at its path below `path`; what was there before goes.
+
+    The folder must be local to all executors or mounted on them; for other stores write_lines keeps rows."""
+    spark = artefacts.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    root = _local(path)
+
+    def put(rows) -> None:
+        for r in rows:
+            to = root / r["rel"]
+            to.parent.mkdir(parents=True, exist_ok=True)
+            part = to.with_name(to.name + f".{_os.getpid()}.part")
+            part.write_text(r["content"] or "", encoding="utf-8")
+            part.replace(to)  # a repeated task writes the same again
+
+    artefacts.select("rel", "content").foreachPartition(put)
+
+
+def _local(path: str) -> _Path:
+    if "://" in path and not path.startswith("file://"):
+        raise ValueError("artefact files need a local or mounted folder")
+    return _Path(path.removeprefix("file://"))
+
+
+def copy_static(spark: SparkSession, source: str, path: str) -> int:
+    """Copies a directory's files as they are, by the file systems that hold them; their number."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    one, two = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, path))
+    jvm.org.apache.hadoop.fs.FileUtil.copy(one.getFileSystem(conf), one, two.getFileSystem(conf), two, False, True, conf)
+    return int(two.getFileSystem(conf).getContentSummary(two).getFileCount())
 
 
 def version_stamp(spark: SparkSession, text: str) -> DataFrame:
