@@ -21,11 +21,12 @@ _libc = ctypes.CDLL(None)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and lets Python workers import this package from its folder.
+    """Bounds Arrow batches, has shuffle files removed when the query that wrote them ends, and lets Python workers import this package from its folder.
 
     On a cluster whose executors do not share that folder, submit the package with --py-files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
