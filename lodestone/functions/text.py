@@ -99,3 +99,14 @@ def table_rows(markdown: Column) -> Column:
     lines = F.filter(F.split(markdown, "\n"), lambda x: x.rlike(r"^\s*\|") & ~x.rlike(r"^\s*\|[\s:|-]+\|\s*$"))
     cells = F.transform(lines, lambda x: F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"))
     return F.transform(cells, lambda row: F.transform(row, lambda c: F.trim(c)))
+
+
+def row_date(text: Column, capture: Column) -> Column:
+    """A row's own date, or where it has none that of the capture."""
+    return F.coalesce(iso_date(text), capture)
+
+
+def bracketed(text: Column) -> Column:
+    """The items of the first [a, b] list of a text, trimmed; an empty list where there is none."""
+    inside = F.regexp_extract(text, r"\[([^\]]*)\]", 1)
+    return F.filter(F.transform(F.split(inside, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -92,3 +92,38 @@ def parity(one: DataFrame, two: DataFrame, key: str, value: str) -> DataFrame:
 
 def symmetric_difference(one: DataFrame, two: DataFrame) -> DataFrame:
     return one.exceptAll(two).withColumn("side", F.lit("left")).unionByName(two.exceptAll(one).withColumn("side", F.lit("right")))
+
+
+def breadcrumb(host: Column, title: Column) -> Column:
+    """The way from a site to a page as JSON."""
+    step = lambda n, name: F.struct(F.lit("ListItem").alias("@type"), F.lit(n).alias("position"), name.alias("name"))
+    return F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(step(1, host), step(2, title)).alias("itemListElement")))
+
+
+def page_header(title: Column, url: Column, day: Column, host: Column) -> Column:
+    """Article and breadcrumb of a page, as one JSON array."""
+    return F.concat(F.lit("["), structured_header(title, url, day), F.lit(","), breadcrumb(host, title), F.lit("]"))
+
+
+def sitemap_document(pages: DataFrame, day: Column) -> DataFrame:
+    """(ord, line): a whole sitemap of pages(ord, url), to be written in the order of ord."""
+    frame = pages.sparkSession.createDataFrame([(-2, '<?xml version="1.0" encoding="UTF-8"?>'), (-1, '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), (2**62, "</urlset>")], "ord long, line string")
+    return frame.unionByName(pages.select("ord", sitemap_entry(F.col("url"), day).alias("line")))
+
+
+def home(facts: DataFrame, topic: str, most: int = 5) -> DataFrame:
+    """(position, topic, n, route): the topics with most facts, numbered, and where each leads."""
+    best = facts.groupBy(topic).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(topic)).limit(most)
+    numbered = best.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.col(topic).alias("topic"), "n"))).alias("all"))  # `most` rows
+    return numbered.select(F.posexplode("all").alias("p", "x")).select((F.col("p") + 1).alias("position"), F.col("x.topic").alias("topic"), F.col("x.n").alias("n"), F.concat(F.lit("/"), F.col("x.topic").cast("string"), F.lit("/index.html")).alias("route"))
+
+
+def contents(facts: DataFrame, topic: str, order: str, text: Column, anchor: Column) -> DataFrame:
+    """(topic, n, body): a topic's table of contents, an entry for each fact in order."""
+    return by_group(facts, topic, order, F.concat(F.lit("- ["), text, F.lit("](#"), anchor, F.lit(")")))
+
+
+def rendered_counts(views: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, n) of a Markdown view's list items and of an HTML view's, of views(key, md, html), to be held against each other by parity()."""
+    count = lambda column, pattern: F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(pattern)).cast("long").alias("n")
+    return views.select(key, count("md", "(?m)^- ")), views.select(key, count("html", "<li[ >]"))

@@ -161,3 +161,34 @@ def prose(rows: DataFrame, entity: str, fields: list[str], arrays: list[str] | N
 
     parts = [F.array(*plain), *[listed(f) for f in arrays or []]]
     return rows.select(F.explode(F.concat(*parts)).alias("p")).select("p.label", "p.text").where("text is not null")
+
+
+KINDS = {"string": "STRING", "number": "(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
+
+
+def typed(rows: DataFrame, entity: str, field: str, kind: str) -> DataFrame:
+    """JSON values of a field that are not of that kind: string, number, boolean, array or object. What cannot be read, null included, is of none."""
+    found = F.schema_of_variant(F.try_parse_json(field))
+    return finding(rows, ~found.rlike(f"^{KINDS[kind]}$"), entity, field)
+
+
+def derived(rows: DataFrame, entity: str, key: str, page: str, facts: DataFrame) -> DataFrame:
+    """Derived rows whose fact is missing, lies on another page, or is not durable; facts(fact_id, page, durability)."""
+    known = facts.select(F.col("fact_id").alias(key), F.col("page").alias("_page"), "durability")
+    both = rows.join(known, key, "left")
+    why = F.when(F.col("durability").isNull(), "no fact").when(~F.col(page).eqNullSafe(F.col("_page")), "other page").when(F.col("durability") != "durable", "not durable")
+    return both.withColumn("_why", why).where("_why is not null").select(F.col(entity).cast("string").alias("entity"), F.lit(key).alias("field"), F.col("_why").alias("hit"))
+
+
+def gates(named: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(gate, failures, flags, exit_code) of findings by gate: 0 where nothing failed, else 1."""
+    rows = reduce(DataFrame.unionByName, [f.select("severity").withColumn("gate", F.lit(n)) for n, f in named])
+    counts = rows.groupBy("gate").agg(F.count_if(F.col("severity") == "fail").alias("failures"), F.count_if(F.col("severity") != "fail").alias("flags"))
+    every = rows.sparkSession.createDataFrame([(n,) for n, _ in named], "gate string").join(counts, "gate", "left").na.fill(0)
+    return every.withColumn("exit_code", F.when(F.col("failures") > 0, 1).otherwise(0))
+
+
+def messages(findings: DataFrame, most: int = 25) -> DataFrame:
+    """The first messages that a person is shown, in order; the findings themselves stay whole."""
+    text = F.concat_ws(" ", "rule_id", F.concat("entity", F.lit(":")), "field", F.coalesce("hit", F.lit("(missing)")))
+    return findings.select(text.alias("message")).orderBy("message").limit(most)

@@ -155,13 +155,13 @@ QUERIES = {
     "dq_quarantine": _rule("V19", lambda t: rules.only_on(t["orders"], "o_orderkey", F.col("o_orderstatus") == "P", "o_orderpriority", "5-LOW"), "select o_orderkey::varchar as entity, 'o_orderpriority' as field, o_orderpriority as hit from orders where o_orderstatus = 'P' and o_orderpriority is distinct from '5-LOW'"),
     "dq_derived_rows": _rule("V20", lambda t: rules.finding(t["lineitem"].join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered")), "l_orderkey"), ~(F.to_date("l_shipdate") >= F.col("ordered")), "l_orderkey", "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")), "select l_orderkey::varchar as entity, 'l_shipdate' as field, strftime(l_shipdate, '%Y-%m-%d') as hit from lineitem join orders on l_orderkey = o_orderkey where l_shipdate::date < o_orderdate::date"),
     "dq_coverage": _rule("V21", lambda t: rules.coverage(t["events"].select(F.col("event_type").alias("field")), ["click", "view"]), "select distinct event_type as entity, 'field' as field, event_type as hit from events where event_type not in ('click', 'view')"),
-    "dq_childless": _rule("V22", lambda t: rules.childless(t["customer"], "c_custkey", t["orders"], "o_custkey", [0]), "select c_custkey::varchar as entity, 'c_custkey' as field, c_custkey::varchar as hit from customer where c_custkey <> 0 and c_custkey not in (select o_custkey from orders)"),
+    "dq_childless": _rule("V22", lambda t: rules.childless(t["customer"], "c_custkey", t["orders"].where("o_orderstatus = 'P'"), "o_custkey", [0]), "select c_custkey::varchar as entity, 'c_custkey' as field, c_custkey::varchar as hit from customer where c_custkey <> 0 and c_custkey not in (select o_custkey from orders where o_orderstatus = 'P')"),
     "dq_wording_positional": (
         wording_positional,  # no lookahead in RE2: all hits, less those that a number follows
         r"select 'V23' as rule_id, 'fail' as severity, doc_id::varchar as entity, 'text' as field from documents where len(regexp_extract_all(text, '(?i)\b(?:of|by)\b', 0)) > len(regexp_extract_all(text, '(?i)\b(?:of|by) [0-9]', 0))",
     ),
     "dq_wording_container": _rule("V24", lambda t: rules.lacks(t["documents"], "doc_id", "text", "(?i)" + T.LEFT + "th(?:is|e) (?:re|an)" + T.RIGHT), r"select doc_id::varchar as entity, 'text' as field, regexp_extract(text, '(?i)\bth(?:is|e) (?:re|an)\b', 0) as hit from documents where regexp_matches(text, '(?i)\bth(?:is|e) (?:re|an)\b')"),
-    "dq_banned_phrase": _rule("V26", lambda t: rules.lacks(t["conversations"].withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "key", "text", "(?i)(?:password|token) *="), "select conv_id || '/' || turn as entity, 'text' as field, regexp_extract(text, '(?i)(?:password|token) *=', 0) as hit from conversations where regexp_matches(text, '(?i)(?:password|token) *=')", "flag"),
+    "dq_banned_phrase": _rule("V26", lambda t: rules.lacks(t["conversations"].withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "key", "text", "(?i)(?:thing|inha) *of"), "select conv_id || '/' || turn as entity, 'text' as field, regexp_extract(text, '(?i)(?:thing|inha) *of', 0) as hit from conversations where regexp_matches(text, '(?i)(?:thing|inha) *of')", "flag"),
     "dq_trimmed": _rule("V29", lambda t: rules.required(t["events"].withColumn("note", F.when(F.col("value") > 90, "  ").otherwise("x")), "event_id", ["note"]), "select event_id::varchar as entity, 'note' as field, null::varchar as hit from events where value > 90"),
     "dq_write_paths": _rule("C14", lambda t: rules.lacks(t["pages"], "page_id", "url", "[.](?:html|htm)(?:[?#]|$)"), "select page_id::varchar as entity, 'url' as field, regexp_extract(url, '[.](?:html|htm)(?:[?#]|$)', 0) as hit from pages where regexp_matches(url, '[.](?:html|htm)(?:[?#]|$)')", "flag"),
     "dq_wording_retraction": _rule("V25", lambda t: rules.lacks(t["documents"], "doc_id", "text", "(?:Released under|licensed under|Licensed under) [A-Za-z]+"), "select doc_id::varchar as entity, 'text' as field, regexp_extract(text, '(?:Released under|licensed under|Licensed under) [A-Za-z]+', 0) as hit from documents where regexp_matches(text, '(?:Released under|licensed under|Licensed under) [A-Za-z]+')", "flag"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality, publishing, retrieval
+from . import editorial, publishing, quality, retrieval
 
-_ALL = retrieval.QUERIES | quality.QUERIES | publishing.QUERIES
+_ALL = retrieval.QUERIES | quality.QUERIES | publishing.QUERIES | editorial.QUERIES
 
 
 def queries() -> dict:

@@ -203,10 +203,12 @@ def snapshot_set_diff(spark, sf):
 
 
 def unconfirmed_additions(spark, sf):
-    old, new = _snapshots(spark, sf)
-    added = diff.set_diff(old, new, ["user_id", "event_type"]).where("status = 'added'").select("user_id", "event_type")
-    seen = table(spark, sf, "events").where("value > 50").select("user_id", "event_type").distinct()
-    return diff.unconfirmed(added, seen, ["user_id", "event_type"])
+    """Values of a user and type, by twenties, that the newer half of the events has and the older has not, and that no event of an even id confirms."""
+    events = table(spark, sf, "events")
+    events = events.crossJoin(F.broadcast(events.agg(F.expr("count(*) div 2").alias("half")))).withColumn("band", F.floor(F.col("value") / 20).cast("int"))  # one row
+    key = ["user_id", "event_type", "band"]
+    added = diff.set_diff(events.where("event_id < half"), events.where("event_id >= half"), key).where("status = 'added'").select(*key)
+    return diff.unconfirmed(added, events.where("event_id % 2 = 0").select(*key).distinct(), key)
 
 
 FAMILIES = {"version": "[0-9]+[.][0-9]+[.][0-9]+", "token": "token = \"[0-9a-f]+\"", "mail": "[A-Za-z0-9.]+@[a-z0-9.]+"}
@@ -294,7 +296,10 @@ case when keyword_rank is not null and tfidf_rank is not null then 'both layers'
         snapshot_set_diff,
         f"with a as (select distinct unnest({_TOKENS.format('text')}) as term from documents where doc_id % 2 = 0), b as (select distinct unnest({_TOKENS.format('text')}) as term from documents where doc_id % 2 = 1) select coalesce(a.term, b.term) as term, case when a.term is null then 'added' when b.term is null then 'removed' else 'unchanged' end as status from a full join b on a.term = b.term",
     ),
-    "unconfirmed_additions": (unconfirmed_additions, f"with {_SNAP}, {_DIFF} select user_id, event_type from d where status = 'added' and (user_id, event_type) not in (select (user_id, event_type) from events where value > 50)"),
+    "unconfirmed_additions": (
+        unconfirmed_additions,
+        "with h as (select count(*) // 2 as half from events), e as (select *, floor(value / 20)::int as band from events, h) select distinct user_id, event_type, band from e where event_id >= half and (user_id, event_type, band) not in (select (user_id, event_type, band) from e where event_id < half or event_id % 2 = 0)",
+    ),
     "extracted_identifiers": (extracted_identifiers, _FAMILY_SQL),
     "embedding_topk": (
         embedding_topk,
