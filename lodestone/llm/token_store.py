@@ -1,12 +1,11 @@
 """Token-id files: one zstandard frame a document, with a trailing seek table and a checksum for each frame, so a reader decompresses only the documents it asks for.
 
-A file is a row of frames: the documents' frames in ascending id order, each with the ids little-endian in 2 or 4 bytes; a skippable frame (magic 0x184D2A5D) with
-the document ids; and the seek table of the seekable zstandard format (skippable frame 0x184D2A5E: compressed size, size and low 32 bits of the xxh64 of the content of each
-frame, then the number of frames, the flag byte 0x80 and the magic 0x8F92EAB1). Each row is followed by SEPARATOR, an empty skippable frame, so files are plain zstandard
-streams that any decoder reads whole, and Spark's own text writer, with that separator in place of line ends, writes them to any file system under its commit protocol. Sizes
-in the seek table count the separator behind a frame.
+A file is a row of frames, in the seekable zstandard format: the documents' frames in ascending id order, each with the ids little-endian in 2 or 4 bytes; a skippable frame (magic 0x184D2A5D) with
+the document ids; and at the very end the seek table (skippable frame 0x184D2A5E: compressed size, size and low 32 bits of the xxh64 of the content of each frame, that of the ids with size 0, then the number of
+frames, the flag byte 0x80 and the magic 0x8F92EAB1). Any zstandard decoder reads a file whole, and readers of the seekable format find its frames. Spark's own text writer writes them to any file system under its
+commit protocol: a row is a file but for its last five bytes, FOOTER, which are the writer's line end.
 
-Cases: a null or empty text has the end id alone; texts of any length are one frame; equal ids lie together, ordered by text; a null id comes first; an empty table makes no file and
+Cases: a null or empty text has the end id alone; a text is one frame, whatever its length (of ids and frames up to 2 GB, what an Arrow value holds); equal ids lie together, ordered by text; a null id comes first; an empty table makes no file and
 no row; other columns are left out.
 """
 
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from ._shared import cut, text_slices
 from .piece_table import PieceTable
 
-#: An empty skippable frame: magic 0x184D2A50 and length 0, all of it ASCII.
-SEPARATOR = "P*M\x18\x00\x00\x00\x00"
+#: What ends a file: the seek table's flags, which tell of checksums, and the magic of seekable files.
+FOOTER = bytes([0x80, 0xB1, 0xEA, 0x92, 0x8F])
 IDS_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 #: Bytes of text that go to one file, about.
 FILE_TEXT_BYTES = 24 << 20
@@ -111,22 +110,34 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> N
         encoder = _encoder(tokenizer_path)
         press = zstandard.ZstdCompressor(level=3, write_content_size=True)
         width = np.dtype(encoder.kind).itemsize
-        ids, table = [], []
+        ids, table, frames, read = [], [], [], 0
+
+        def file() -> pa.RecordBatch:
+            head = json.dumps({"version": 2, "width": width, "nulls": [i for i, x in enumerate(ids) if x is None]}).encode()
+            names = _skippable(IDS_MAGIC, struct.pack("<I", len(head)) + head + np.array([x or 0 for x in ids], dtype="<i8").tobytes())
+            rows = [*table, struct.pack("<III", len(names), 0, xxhash.xxh64_intdigest(b"") & 0xFFFFFFFF)]
+            seek = _skippable(SEEK_MAGIC, b"".join(rows) + struct.pack("<I", len(rows)) + FOOTER)
+            content = b"".join([*frames, names, seek.removesuffix(FOOTER)])
+            for x in (ids, table, frames):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["file"])
+
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 content = encoder.packed(part, data, offsets, end_id)
-                frames = [press.compress(x) for x in content]
+                new = [press.compress(x) for x in content]
                 ids += part.column(0).to_pylist()
-                table += [struct.pack("<III", len(f) + len(SEPARATOR), len(x), xxhash.xxh64_intdigest(x) & 0xFFFFFFFF) for f, x in zip(frames, content, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                table += [struct.pack("<III", len(f), len(x), xxhash.xxh64_intdigest(x) & 0xFFFFFFFF) for f, x in zip(new, content, strict=True)]
+                frames += new
+                read += len(data)
+                if read >= FILE_TEXT_BYTES:
+                    yield file()
+                    read = 0
         if ids:
-            head = json.dumps({"version": 1, "width": width, "nulls": [i for i, x in enumerate(ids) if x is None]}).encode()
-            names = struct.pack("<I", len(head)) + head + np.array([x or 0 for x in ids], dtype="<i8").tobytes()
-            seek = b"".join(table) + struct.pack("<IBI", len(ids), 0x80, SEEKABLE)
-            yield pa.RecordBatch.from_arrays([pa.array([_skippable(IDS_MAGIC, names), _skippable(SEEK_MAGIC, seek)], pa.binary())], ["frame"])
+            yield file()
 
-    frames = dealt.mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+    files = dealt.mapInArrow(run, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("lineSep", FOOTER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 class TokenFile:
@@ -135,8 +146,7 @@ class TokenFile:
     def __init__(self, data):
         import zstandard
 
-        self.data, gap = data, len(SEPARATOR)
-        end = len(data) - gap
+        self.data, end = data, len(data)
         count, flags, magic = struct.unpack("<IBI", data[end - 9 : end])
         if magic != SEEKABLE or flags != 0x80:
             raise ValueError("no seek table")
@@ -145,7 +155,8 @@ class TokenFile:
             raise ValueError("the seek table is damaged")
         self.table = np.frombuffer(data[begin : end - 9], dtype="<u4").reshape(count, 3)
         self.starts = np.concatenate([[0], np.cumsum(self.table[:, 0], dtype=np.int64)])
-        at = int(self.starts[-1])
+        self.table = self.table[:-1]  # the last frame has the document ids
+        at = int(self.starts[-2])
         magic, size = struct.unpack("<II", data[at : at + 8])
         (head,) = struct.unpack("<I", data[at + 8 : at + 12])
         spec = json.loads(bytes(data[at + 12 : at + 12 + head]))
@@ -163,7 +174,7 @@ class TokenFile:
         import xxhash
 
         a, b = int(self.starts[i]), int(self.starts[i + 1])
-        content = self.unpack.decompress(self.data[a : b - len(SEPARATOR)])
+        content = self.unpack.decompress(self.data[a:b])
         if len(content) != self.table[i, 1] or xxhash.xxh64_intdigest(content) & 0xFFFFFFFF != self.table[i, 2]:
             raise ValueError(f"frame {i} is damaged")
         return np.frombuffer(content, dtype=self.kind)
@@ -205,6 +216,7 @@ def with_starts(rows: DataFrame) -> DataFrame:
     """read()'s rows of all documents, with `start`, the ids of all documents before each in ascending doc_id order. Only a row for each file meets in one task."""
     rows = cut(rows, "token-rows")
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("lowest"))
-    order = Window.orderBy("lowest", "file").rowsBetween(Window.unboundedPreceding, -1)
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    order = Window.orderBy("lowest", number(r"part-(\d+)"), number(r"-c(\d+)"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"))
     return rows.join(files, "file").withColumn("start", F.col("before") + F.col("local_start")).drop("before")

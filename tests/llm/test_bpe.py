@@ -113,6 +113,11 @@ def test_token_files(spark):
         raw = open(f, "rb").read()
         whole += zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
         file = token_store.TokenFile(raw)
+        # as a reader of the seekable format looks at it: the footer is the last nine bytes, and frames lie end to end up to the seek table
+        frames = int.from_bytes(raw[-9:-5], "little")
+        assert raw[-5:] == b"\x80" + (0x8F92EAB1).to_bytes(4, "little") and frames == len(file) + 1
+        table = len(raw) - 9 - 12 * frames
+        assert raw[table - 8 : table - 4] == (0x184D2A5E).to_bytes(4, "little") and int(file.starts[-1]) == table - 8
         assert file.ids(0).tolist()[-1] == 0
         broken = bytearray(raw)
         broken[int(file.starts[0]) + 12] ^= 0xFF
@@ -157,3 +162,19 @@ def test_registered_queries(spark, library, tmp_path):
         want = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
         assert found[d] == (d, at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         at += len(want)
+
+
+def test_files_are_cut_by_size(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "FILE_TEXT_BYTES", 5000)
+    prepare(spark)
+    rng = random.Random(2)
+    docs = [(rng.choice([i, 7]), " ".join(rng.choices(["alpha", "be", "gamma"], k=rng.randint(0, 900)))) for i in range(120)]
+    path = fresh_path(spark, "test-cut")
+    token_store.write(spark.createDataFrame(docs, "doc_id long, text string"), path, JSON)
+    rows = sorted(token_store.with_starts(token_store.read(spark, path)).collect(), key=lambda r: r["start"])
+    library, at = Tokenizer.from_file(JSON), 0
+    for r, (d, t) in zip(rows, sorted(docs), strict=True):
+        want = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (r["doc_id"], r["start"], list(r["ids"])) == (d, at, want)
+        at += len(want)
+    assert len({r["file"] for r in rows}) > 20

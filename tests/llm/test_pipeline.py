@@ -86,3 +86,23 @@ def test_run(spark, tmp_path):
     path, _ = corpus(tmp_path, spark)
     out = corpus_pipeline.run(spark, path)
     assert "ids" in out.columns and out.count() > 100
+
+
+def test_rows_of_one_id_null_ids_and_extra_columns(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(n))
+    one, two = text(60), text(60)
+    near = " ".join(one.split()[:-1])
+    rows = [(5, one, "x"), (5, two, "y"), (3, near, "x"), (None, one + " tail", "n"), (None, text(50), "n"), (8, two, "y"), (9, "", "e"), (9, "", "e"), (10, None, "e"), (11, text(40), "z"), (11, None, "z"), (5, two, "y")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or ""), x) for d, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long, component_id string").repartition(3)
+    kept = corpus_pipeline.jaccard_join(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["component_id"]) for r in kept.collect()))
+    assert got == sorted([(False, 3, near, "x"), (False, 5, two, "y"), (True, 0, rows[4][1], "n"), (False, 9, "", "e"), (False, 9, "", "e"), (False, 10, "", "e"), (False, 11, rows[9][1], "z"), (False, 11, "", "z")])
+
+
+def test_empty_tables(spark, tmp_path):
+    path = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
