@@ -4,15 +4,17 @@ Tokens are words and their first 6, 7 and 8 bytes. Each has a log-odds between t
 texts that hold it; a word scores as its most significant token, and a word without any costs DRIFT.
 A linear-time scan over the words of a document finds all maximal segments of positive sum. Karlin-Altschul statistics turn a segment's sum S into an E-value
 K * n * exp(-lambda * S), with lambda the root of E[exp(lambda * s)] = 1 over the words of non-toxic documents; segments with an E-value below SIGNIFICANT are toxic passages. A document's evidence
-is the sum of -ln(E-value) of its significant segments, and a logistic curve over it and over its strongest segment, fitted on the training rows, gives the score.
+is the sum of -ln(E-value) of its significant segments, and a logistic curve over the logarithm of one more than it and over its strongest segment, fitted on the training rows, gives the score. K is the
+maximum-likelihood one, given lambda, of the largest sums in the non-toxic training rows with their words shuffled.
 
-Training rows are bounded: about `sample` labelled rows, chosen by a hash of the id; the word table holds all words of these rows that count.
+Training rows are bounded: about `sample` labelled rows, chosen by a hash of the id, at most twice as many; the word table holds all words of these rows that count.
 
-Cases: a null or empty text has no segment and the lowest score; whole texts are read, however long; a document labelled twice counts each time; without labels of both kinds every score is 0; repeated rows get equal results.
+Cases: a null or empty text has no segment and the lowest score; whole texts are read, however long; a document labelled twice counts each time; without labels of both kinds every score is 0; repeated rows get equal results; a null id is in no fold and not held out; `score` and `segments` of the result replace columns of these names.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,8 +106,8 @@ def _look_up(model: Model, all_tokens: list[np.ndarray]) -> tuple[np.ndarray, np
     return places, odds[places]
 
 
-def segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, float, float]]]:
-    """For each text its significant segments: byte offsets of start and end, sum, E-value."""
+def segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[tuple[int, int, float, float]]], list[int]]:
+    """For each text its significant segments: byte offsets of start and end, sum, E-value; and its number of words."""
     h, first, starts, ends = words_of(data, offsets)
     places, odds = _look_up(model, h)
     cuts = np.searchsorted(places, first)
@@ -120,14 +122,13 @@ def segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> list[list[t
                 if e < SIGNIFICANT:
                     rows.append((int(starts[first[i] + x] - offsets[i]), int(ends[first[i] + y] - offsets[i]), float(s), float(e)))
         out.append(rows)
-    return out
+    return out, np.diff(first).tolist()
 
 
-def evidence(rows: list[tuple[int, int, float, float]]) -> tuple[float, float]:
-    if not rows:
-        return 0.0, 0.0
-    logs = [min(60.0, -np.log(max(r[3], 1e-26) / SIGNIFICANT)) for r in rows]
-    return min(100.0, float(sum(logs))), float(max(r[2] for r in rows))
+def evidence(model: Model, rows: list[tuple[int, int, float, float]], words: int) -> tuple[float, float]:
+    """ln(1 + the sum of -ln(E-value)) over the significant segments of a text of so many words, and the largest sum."""
+    total = sum(max(0.0, np.log(SIGNIFICANT) - np.log(model.factor * words) + model.rate * r[2]) for r in rows)
+    return float(np.log1p(total)), max((r[2] for r in rows), default=0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, prior: float = 0.05) -> Model:
@@ -140,7 +141,8 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> Model
     known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", "toxic")
     total = known.count()
     place = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity sample")) % 1_000_000 + 1_000_000) % 1_000_000
-    few = known.where(place < int(min(1.0, sample / max(1, total)) * 1_000_000)).limit(2 * sample)  # at most 2 * sample rows of two numbers: small enough to broadcast
+    # at most 2 * sample rows of two numbers: small enough to broadcast
+    few = known.withColumn("place", place).where(F.col("place") < int(min(1.0, sample / max(1, total)) * 1_000_000)).orderBy("place", "doc_id", "toxic").limit(2 * sample).drop("place")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").where("text is not null")
     rows = cut(rows.dropDuplicates(["text", "toxic"]), "toxicity-sample")
 
@@ -177,17 +179,43 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> Model
     for _ in range(80):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (chance * np.exp(np.minimum(mid * values, 600))).sum() < 1 else (lo, mid)
-    rate = max(lo, 0.05)
-    model = Model(words, scores, ranks, rate, 0.1, (0.0, 0.0, 0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rate = lo
+    spark = docs.sparkSession
+    plain = spark.sparkContext.broadcast(Model(words, scores, ranks, rate, 1.0, (0.0, 0.0, 0.0)))
+
+    def largest(batches):
+        """Words times exp(-lambda * largest sum) of non-toxic rows, their words shuffled."""
+        model = plain.value
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                found, first, _, _ = words_of(data, offsets)
+                places, odds = _look_up(model, found)
+                at = np.searchsorted(places, first)
+                out = []
+                for i, toxic in enumerate(part.column(2).to_pylist()):
+                    n, mine = int(first[i + 1] - first[i]), odds[at[i] : at[i + 1]]
+                    if toxic or not n:
+                        continue
+                    rng = np.random.default_rng(zlib.crc32(data[offsets[i] : offsets[i + 1]].tobytes()))  # of the text alone, whatever the tasks
+                    where = np.sort(rng.choice(n, len(mine), replace=False))
+                    sums = [s for _, _, s in maximal_segments(where.tolist(), rng.permutation(mine).tolist(), DRIFT)]
+                    out.append(n * float(np.exp(-model.rate * max(sums, default=0.0))))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], ["x"])
+
+    # summed in a fixed order, so that a repeated run gets the same model
+    clean = np.sort(np.array([r["x"] for r in rows.select("doc_id", "text", "toxic").mapInArrow(largest, "x double").collect()]))  # a number for each row learnt from
+    factor = len(clean) / float(clean.sum()) if len(clean) else 1.0
+    shared = spark.sparkContext.broadcast(Model(words, scores, ranks, rate, factor, (0.0, 0.0, 0.0)))
 
     def weigh(batches):
+        model = shared.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
-                found = [evidence(x) for x in segments(shared.value, data, offsets)]
-                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([round(x[0], 1) for x in found], pa.float64()), pa.array([round(x[1], 1) for x in found], pa.float64())], ["toxic", "e", "s"])
+                found, counts = segments(model, data, offsets)
+                pairs = [evidence(model, x, n) for x, n in zip(found, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array([round(x[0], 2) for x in pairs], pa.float64()), pa.array([round(x[1], 1) for x in pairs], pa.float64())], ["toxic", "e", "s"])
 
-    grouped = rows.select("doc_id", "text", "toxic").mapInArrow(weigh, "toxic int, e double, s double").groupBy("toxic", "e", "s").count().limit(2 * sample).collect()
+    grouped = rows.select("doc_id", "text", "toxic").mapInArrow(weigh, "toxic int, e double, s double").groupBy("toxic", "e", "s").count().orderBy("toxic", "e", "s").collect()  # no more than the rows learnt from
     x = np.array([[1.0, r["e"], r["s"]] for r in grouped])
     y, n = np.array([r["toxic"] for r in grouped], dtype=float), np.array([r["count"] for r in grouped], dtype=float)
     w = np.zeros(3)
@@ -195,12 +223,13 @@ def _fit(docs: DataFrame, labels: DataFrame, sample: int, prior: float) -> Model
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3), x.T @ (n * (y - p)) - 1e-2 * w)
         w = w + np.clip(step, -2, 2)
-    return Model(words, scores, ranks, rate, 0.1, tuple(w))
+    return Model(words, scores, ranks, rate, factor, tuple(w))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `segments`, the significant toxic passages, and `score` beside; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows learnt from
+    docs = docs.drop("segments", "score")
     names = docs.columns
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("sum", pa.float64()), ("e_value", pa.float64())]))
 
@@ -208,8 +237,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
-                found = segments(model, data, offsets)
-                e = np.array([evidence(x) for x in found])
+                found, counts = segments(model, data, offsets)
+                e = np.array([evidence(model, x, n) for x, n in zip(found, counts, strict=True)])
                 p = 1 / (1 + np.exp(-np.clip(model.curve[0] + e[:, 0] * model.curve[1] + e[:, 1] * model.curve[2], -30, 30)))
                 rows = [[dict(zip(("start", "end", "sum", "e_value"), r, strict=True)) for r in x] for x in found]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, kind), pa.array(np.where(model.curve[0] <= -40, 0.0, p), pa.float64())], [*names, "segments", "score"])
@@ -221,5 +250,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def rate_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, segments): learnt from the labels outside fold 0, scored for all."""
     model = fit(docs, labels.where(crc_fold() != 0))
-    rows = docs.select("doc_id", (crc_fold() == 0).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(crc_fold() == 0, F.lit(False)).alias("held_out"), "text")
     return score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "segments")
