@@ -69,9 +69,9 @@ def test_stages(spark, tmp_path):
     groups = {}
     for i, (_, _, c) in enumerate(components([(i, t) for i, (_, t, *_) in enumerate(sorted(before))], 5, 80)):
         groups.setdefault(c, []).append(i)
-    ids = [d for d, *_ in sorted(before)]
-    keep = {min(ids[i] for i in g) for g in groups.values()}
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(keep)
+    # a row of each group, that of the smallest id and text: rows of one id and other texts are documents of their own
+    rows = [(d, t) for d, t, *_ in sorted(before)]
+    assert sorted((r["doc_id"], r["text"]) for r in after.collect()) == sorted(rows[min(g)] for g in groups.values())
 
     before, after = by_name["benchmark decontamination"]
     leaked = {d for d, t, *_ in before if any(infix(words(b), words(t)) <= int(0.2 * len(words(b))) for _, b in bench)}
