@@ -26,7 +26,7 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import decode, encode
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode(encode(documents(spark, sf_dir), path), path)
+    coded = decode(encode(documents(spark, sf_dir), path).drop("ends"), path)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
