@@ -83,10 +83,12 @@ def queries() -> dict:
 
 
 def _license_sql() -> str:
-    from .license_scan import FILE_SHARE, TEMPLATES, THRESHOLD
+    from .license_scan import FILE_SHARE, TEMPLATES, THRESHOLD, _idf, strong_words
 
     templates = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))
     token = "regexp_extract_all(lower({0}), '[a-z0-9]+', 0)"
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    inside = f"len(list_filter(tok, lambda x: list_contains({words(_idf())}, x)))"
     return f"""with t(template, license, text) as (values {templates}),
 u as (select template, license, unnest({token.format("text")}) as word from t), tf as (select template, license, word, count(*) as tf from u group by all),
 idf as (select word, ln((select count(*) + 1 from t)::double / (1 + count(*))) + 1 as idf from tf group by word),
@@ -94,16 +96,22 @@ raw as (select template, license, tf.word, tf * idf as w from tf join idf on tf.
 weight as (select raw.template, license, word, w / norm as weight from raw join n on raw.template = n.template),
 f as (select doc_id, source || '/' || doc_id as path, text, row_number() over () as rid, source as dir from documents),
 l as (select rid, length(text) as file_chars, unnest(range(len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as value from f),
-w as (select rid, line, unnest({token.format("value")}) as word from l), c as (select rid, line, word, count(*) as c from w group by all),
+k as (select rid, line, length(value) as chars, file_chars, {token.format("value")} as tok from l),
+m as (select *, {inside} as inside from k where list_has_any(tok, {words(strong_words(THRESHOLD))})),
+p as (select * from m where inside * inside * {1 - THRESHOLD * THRESHOLD!r}::double >= {THRESHOLD * THRESHOLD!r}::double * 0.999::double * (len(tok) - inside)),
+g as (select rid, line, line - row_number() over (partition by rid order by line) as run from p),
+y as (select rid, line, line as last from p union all select rid, min(line), max(line) from g group by rid, run having count(*) > 1),
+w as (select y.rid, y.line, y.last, unnest(tok) as word from y join p on y.rid = p.rid and p.line between y.line and y.last), c as (select rid, line, last, word, count(*) as c from w group by all),
 x as (select c.*, idf from c left join idf on c.word = idf.word),
-len as (select rid, line, sqrt(sum(case when idf is null then c * power(ln((select count(*) + 1 from t)) + 1, 2) else c * c * idf * idf end)) as length from x group by all),
-dot as (select rid, line, template, license, sum(c * idf * weight) as dot from x join weight on x.word = weight.word group by all),
-s as (select dot.rid, dot.line, license, round(dot / length, 6) as similarity from dot join len on dot.rid = len.rid and dot.line = len.line where round(dot / length, 6) >= {THRESHOLD}),
-b as (select rid, line, arg_min(license, (-similarity, license)) as license, max(similarity) as similarity from s group by all),
-o as (select b.rid, arg_min(b.license, (-similarity, b.line)) as license, max(similarity) as similarity, sum(length(value)) as chars, any_value(file_chars) as file_chars from b join l on b.rid = l.rid and b.line = l.line group by b.rid),
-g as (select dir, arg_min(struct_pack(path := path, license := license, similarity := similarity), (-similarity, path)) as g from f join o on f.rid = o.rid where chars >= {FILE_SHARE} * file_chars group by dir)
-select doc_id, path, coalesce(o.license, g.g.license) as license, coalesce(o.similarity, g.g.similarity) as similarity, case when o.license is not null then 'own' when g.g.license is not null then 'inherited' else 'none' end as via,
-case when o.license is not null then path else g.g.path end as from_path from f left join o on f.rid = o.rid left join g on f.dir = g.dir"""
+len as (select rid, line, last, sqrt(sum(case when idf is null then c * power(ln((select count(*) + 1 from t)) + 1, 2) else c * c * idf * idf end)) as length from x group by all),
+dot as (select rid, line, last, template, license, sum(c * idf * weight) as dot from x join weight on x.word = weight.word group by all),
+s as (select dot.rid, dot.line, dot.last, license, round(dot / length, 6) as similarity from dot join len on dot.rid = len.rid and dot.line = len.line and dot.last = len.last where round(dot / length, 6) >= {THRESHOLD}),
+b as (select rid, line, last, arg_min(license, (-similarity, license)) as license, max(similarity) as similarity from s group by all),
+z as (select distinct p.rid, p.line, p.chars, p.file_chars from b join p on b.rid = p.rid and p.line between b.line and b.last), h as (select rid, sum(chars) as chars, max(file_chars) as file_chars from z group by rid),
+o as (select b.rid, arg_min(b.license, (-similarity, b.line, b.last)) as license, max(similarity) as similarity, any_value(h.chars) as chars, any_value(h.file_chars) as file_chars from b join h on b.rid = h.rid group by b.rid),
+q as (select dir, arg_min(struct_pack(path := path, license := license, similarity := similarity), (-similarity, path)) as g from f join o on f.rid = o.rid where chars >= {FILE_SHARE} * file_chars group by dir)
+select doc_id, path, coalesce(o.license, q.g.license) as license, coalesce(o.similarity, q.g.similarity) as similarity, case when o.license is not null then 'own' when q.g.license is not null then 'inherited' else 'none' end as via,
+case when o.license is not null then path else q.g.path end as from_path from f left join o on f.rid = o.rid left join q on f.dir = q.dir"""
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
