@@ -54,6 +54,7 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # GRAMS x m, float32, columns over the roots of their counts
     weights: np.ndarray  # (m + 1) x langs
+    held: np.ndarray  # GRAMS x langs, bool: whether a landmark of the language holds the n-gram
 
     def scores(self, matrix: np.ndarray) -> np.ndarray:
         """For each row a probability for each language."""
@@ -70,7 +71,7 @@ def fit(docs: DataFrame, per_lang: int = 600, landmarks: int = 128, ridge: float
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((1, 0), np.float32))
+        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros((GRAMS, 0), bool))
     share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, per_lang / counts[x]))) for x in langs])
     place = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")) % 1_000_000 + 1_000_000) % 1_000_000
     sample = labelled.where(place < share * 1_000_000).select(place.alias("place"), "lang", "text")
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, per_lang: int = 600, landmarks: int = 128, ridge: float
     y = np.array([langs.index(r["lang"]) for r in rows])
     x, y = x[x.any(axis=1)], y[x.any(axis=1)]
     if not len(x):
-        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((1, 0), np.float32))
+        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros((GRAMS, 0), bool))
     each = max(1, landmarks // len(langs))
     chosen = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(langs))])
     scale = np.sqrt(np.maximum(x.sum(axis=1), 1))
@@ -101,18 +102,20 @@ def fit(docs: DataFrame, per_lang: int = 600, landmarks: int = 128, ridge: float
     weight = (1.0 / np.maximum(np.bincount(y, minlength=len(langs)), 1))[y] * len(y) / len(langs)
     penalty = ridge * len(y) * np.diag(np.append(np.ones(good.sum()), 0)) / 100
     solved = np.linalg.solve(features.T @ (features * weight[:, None]) + penalty + 1e-9 * np.eye(features.shape[1]), features.T @ (np.eye(len(langs))[y] * weight[:, None]))
-    return Model(langs, marks.astype(np.float32), np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32))
+    held = np.stack([x[chosen[y[chosen] == k]].any(axis=0) for k in range(len(langs))], axis=1)
+    return Model(langs, marks.astype(np.float32), np.vstack([whiten @ solved[:-1], solved[-1:]]).astype(np.float32), held)
 
 
-def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its score beside, under those names (columns that had them are replaced); only the text is looked at, and only it leaves the JVM."""
+def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score", known: str = "known") -> DataFrame:
+    """docs with the predicted language, its score and the share of the text's n-grams that the language's landmarks hold beside, under those names (columns that had them are replaced); only the text is looked at, and
+    only it leaves the JVM. The score weighs the learnt languages against each other, however many; `known` tells whether the text is in that language at all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS x m, whatever the data
     found = "lodestone language"  # a name that columns of docs do not have
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, known double")
     def label(texts: pa.Array) -> pa.Array:
         model = shared.value
-        langs, scores = [], []
+        langs, scores, shares = [], [], []
         for part, _, _ in text_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
             rows = [t or "" for t in part.column(0).to_pylist()]
             for i in range(0, len(rows), BATCH):
@@ -122,10 +125,15 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
                 p = model.scores(matrix) if model.langs else np.zeros((len(has), 1))
                 langs += [model.langs[k] if h else "und" for k, h in zip(p.argmax(axis=1), has, strict=True)]
                 scores += np.where(has, p.max(axis=1), 0).astype(np.float64).tolist()
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
-
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (lang, score)]
-    return docs.withColumn(found, label("text")).select(*rest, F.col(f"`{found}`.lang").alias(lang), F.col(f"`{found}`.score").alias(score))
+                if model.langs:
+                    mine = model.held[:, p.argmax(axis=1)].T
+                    shares += np.where(has, (matrix * mine).sum(axis=1) / np.maximum(matrix.sum(axis=1), 1), 0).astype(np.float64).tolist()
+                else:
+                    shares += [0.0] * len(has)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["lang", "score", "known"])
+
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (lang, score, known)]
+    return docs.withColumn(found, label("text")).select(*rest, F.col(f"`{found}`.lang").alias(lang), F.col(f"`{found}`.score").alias(score), F.col(f"`{found}`.known").alias(known))
 
 
 def identify(docs: DataFrame) -> DataFrame:

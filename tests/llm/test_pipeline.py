@@ -106,3 +106,11 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, path).count() == 0
+
+
+def test_texts_of_no_learnt_language_go(spark, tmp_path):
+    path, _ = corpus(tmp_path, spark)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    more = spark.createDataFrame([(900, "это совершенно другой язык", None, "x", 1), (901, "これは別の言語です", "en", "x", 1), (902, "the thing with that and the thing", None, "x", 1)], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.unionByName(more), path).collect()}
+    assert 902 in kept and not kept & {900, 901, 203, 204} and set(range(150)) <= kept
