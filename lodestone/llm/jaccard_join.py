@@ -253,5 +253,6 @@ def _components(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     keep = f"100 * least(x_n, y_n) >= {threshold} * greatest(x_n, y_n)"
     _, found = link(members, slim.select("id", "n"), verify, "jaccard", keep=keep, ready=ready, rest=rest)
     named = slim.join(found.withColumnRenamed("node", "id"), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    out = rows.join(named, ["f1", "f2", "n"], "left")
+    # empty sets, which may be very many, are no key of a join; other equal sets that are many are split by Spark where they skew it
+    out = rows.where("n > 0").join(named, ["f1", "f2", "n"], "left").select("doc_id", "n", "component").unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     return cut(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "jaccard-components")
