@@ -56,7 +56,7 @@ def resolve(href: Column, page: Column) -> Column:
     """A link's target: / is the root, all else is relative to the page's directory; a directory or a name without ending is its index.html. Links with a scheme, and fragments alone, are null and the page."""
     path = F.regexp_replace(href, "[?#].*$", "")
     directory = F.regexp_replace(page, "[^/]*$", "")
-    joined = F.when(path == "", page).when(F.startswith(path, F.lit("/")), F.substring(path, 2, 100000)).otherwise(F.concat(directory, path))
+    joined = F.when(path == "", page).when(F.startswith(path, F.lit("/")), F.substr(path, F.lit(2))).otherwise(F.concat(directory, path))
     parts = F.filter(F.split(joined, "/"), lambda p: (p != ".") & (p != ""))
     # each .. takes away the part before it
     plain = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
