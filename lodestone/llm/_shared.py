@@ -35,11 +35,14 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset as in tests, a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset in a single process as in tests, a local one; on a cluster it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.lodestone.scratch", None)
         if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
             spark.conf.set("spark.lodestone.scratch", base)
     return base.rstrip("/")
