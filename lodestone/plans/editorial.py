@@ -47,10 +47,11 @@ def symptom_diagnosis(spark, sf):
 
 
 def index_composed(spark, sf):
+    """Weights with four decimals, summed as whole numbers."""
     rows = sections(spark, sf).select("id", "ord", "title", F.col("file").alias("description"))
     related = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("topic"))
     index = search.Index.build(search.composed(rows, search.postings(rows), related))
-    return index.weight.groupBy("id").agg(F.count("*").alias("terms"), F.round(F.sum(F.round("weight", 4)), 2).alias("weight"))
+    return index.weight.groupBy("id").agg(F.count("*").alias("terms"), F.sum(F.round(F.col("weight") * 10000).cast("long")).alias("weight"))
 
 
 def section_nested(spark, sf):
@@ -173,7 +174,7 @@ QUERIES = {
 m as (select doc_id as id, symptom, list_filter(pattern, lambda x: contains(lower(text), lower(x))) as matched from documents, p), l as (select *, unnest([symptom, symptom + 10000000]) as lesson from m where len(matched) > 0)
 select l.id, symptom, md5(array_to_string(matched, chr(10))) as matched, 'see item ' || symptom as hint, lesson, coalesce(title, 'Section ' || lesson) as title from l left join t on t.id = l.lesson""",
     ),
-    "index_composed": (index_composed, f"with {_COMPOSED}{_INDEX.removeprefix(_SECTIONS)} select id, count(*) as terms, round(sum(round(weight, 4)), 2) as weight from w group by id"),
+    "index_composed": (index_composed, f"with {_COMPOSED}{_INDEX.removeprefix(_SECTIONS)} select id, count(*) as terms, sum(round(weight * 10000)::bigint)::bigint as weight from w group by id"),
     "section_nested": (section_nested, f"with {_SECTIONS} select file, min(ord) as first_ord, md5(string_agg(id || ':' || md5(title), ' ' order by ord)) as items from s group by file"),
     "nav_nested": (nav_nested, f"with {_SITE} select host, min(page_id) as first_ord, string_agg(page, ' ' order by page_id) as items from q group by host"),
     "publish_gates": (
