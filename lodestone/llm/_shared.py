@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> None:
 
     On a cluster whose executors do not share that folder, submit the package with --py-files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment

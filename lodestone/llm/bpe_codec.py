@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
 from ._shared import text_slices
 from .piece_table import PieceTable
 
@@ -91,38 +92,50 @@ def table(path: str) -> PieceTable:
     return _tables[path]
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids, ends) for each row: token ids, and the byte offset behind each token."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, id_column: str, text_column: str) -> Iterator[pa.RecordBatch]:
+    cache = table(path)
+    width = np.array([len(x) for x in vocabulary(path)], dtype=np.int32)
+    for batch in batches:
+        for part, data, offsets in text_slices(batch, text_column):
+            flat, counts = cache.ids(data, offsets)
+            at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            ends = np.cumsum(width[flat], dtype=np.int64)
+            ends -= np.repeat(np.concatenate([[0], ends])[at[:-1]], counts)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (flat, ends)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *lists], [id_column, "ids", "ends"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = table(path)
-        width = np.array([len(x) for x in vocabulary(path)], dtype=np.int32)
-        for batch in batches:
-            for part, data, offsets in text_slices(batch, text_column):
-                flat, counts = cache.ids(data, offsets)
-                at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                ends = np.cumsum(width[flat], dtype=np.int64)
-                ends -= np.repeat(np.concatenate([[0], ends])[at[:-1]], counts)
-                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (flat, ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *lists], [id_column, "ids", "ends"])
 
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    get = vocabulary(path).__getitem__
+    for batch in batches:
+        at = batch.schema.get_field_index("ids")
+        decoded = [b"".join(map(get, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in batch.column(at)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "bytes"])
+
+
+def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, ids, ends) for each row: token ids, and the byte offset behind each token."""
     kept = docs.select(id_column, text_column)
     kind = kept.schema[0].dataType.simpleString()
-    return kept.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, ends array<int>")
+    return kept.mapInArrow(lambda batches: _encoded(batches, path, id_column, text_column), f"`{id_column}` {kind}, ids array<int>, ends array<int>")
 
 
-def decode(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """encoded(id, ids, ...) with `bytes`, the decoded text, beside."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    return encoded.mapInArrow(lambda batches: _decoded(batches, path), f"{fields}, bytes binary")
+
+
+def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, ids, bytes): encode() and, of its ids, decode(), one after the other in the same worker, so that no second one is kept for each task."""
+    kept = docs.select(id_column, text_column)
+    kind = kept.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary(path).__getitem__
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            decoded = [b"".join(map(get, x.values.to_numpy().tolist())) if x.is_valid else b"" for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "bytes"])
+        coded = (pa.RecordBatch.from_arrays([b.column(0), b.column(1)], [id_column, "ids"]) for b in _encoded(batches, path, id_column, text_column))
+        return _decoded(coded, path)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, bytes binary")
+    return kept.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, bytes binary")
 
 
 def decode_range(ids: list[int], ends: list[int], path: str, start: int, stop: int) -> bytes:

@@ -23,10 +23,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .bpe_codec import decode, encode
+    from .bpe_codec import round_trip
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode(encode(documents(spark, sf_dir), path).drop("ends"), path)
+    coded = round_trip(documents(spark, sf_dir), path)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
