@@ -53,7 +53,7 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 # Words of the templates that most prose holds, the most frequent first.
-COMMON = ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "as", "with", "be", "this", "by", "are", "or", "not", "at", "you", "all", "has", "can", "may", "any", "use", "its"]
+COMMON = ["the", "of", "and", "to", "a", "in", "is", "that", "it", "for", "as", "with", "be", "this", "by", "are", "or", "not", "at", "you", "all", "has", "can", "may", "any", "use", "its", "on", "from", "was", "have", "one", "if", "so", "an", "do", "no", "out", "above", "see", "either", "more"]
 WORD = "[a-z0-9]+"
 FILE_NAME = "(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
 
