@@ -100,16 +100,22 @@ class PieceTable:
             won[empty] = self.row[place] == rows[taken]
             todo, slot = todo[~won], (slot[~won] + 1) & (self.slots - 1)
 
+    def pieces(self, data: np.ndarray, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in bytes, of the pieces of texts laid end to end."""
+        codes = np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
+        leads = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each code point
+        filled = offsets[:-1][np.diff(offsets) > 0]
+        starts = leads[boundaries(codes, np.searchsorted(leads, filled))]
+        return starts, np.append(starts[1:], len(data))
+
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given by their UTF-8 bytes, laid end to end, and each text's number of ids."""
         if not len(data):
             return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
         raw = data.tobytes()
-        codes = np.frombuffer(raw.decode().encode("utf-32-le"), dtype=np.uint32)
-        leads = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each code point
-        filled = offsets[:-1][np.diff(offsets) > 0]
-        starts = leads[boundaries(codes, np.searchsorted(leads, filled))]
-        ends = np.append(starts[1:], len(data))
+        starts, ends = self.pieces(data, raw, offsets)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
         size = (ends - starts).astype(np.int32)
         h = W.hashes(data, starts, ends)
         h[h == 0] = 1

@@ -78,6 +78,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(documents(spark, sf_dir), documents(spark, sf_dir, "labels")).drop("segments")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack, pieces
+
+    return pieces(pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=4096))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants, word_counts
+
+    return variants(word_counts(documents(spark, sf_dir)))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import restored, transform
+
+    made = transform(documents(spark, sf_dir)).withColumn("restored", restored())
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -125,5 +147,27 @@ reach as (select doc_id as a, doc_id as b from n union select r.a, k.b from reac
 select n.doc_id, n as n_shingles, min(b) as component_id from n join reach on n.doc_id = reach.a group by all"""
 
 
+_SPELLING_SQL = f"""with recursive crc as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+r as (select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents),
+g as (select d, run, count(*) as c, hex(encode(d || ':' || run)) as x from r where length(run) >= 6 group by d, run),
+h as (select run, c, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) as h from g, crc),
+v as (select case when h % 199 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, c from h),
+w as (select word, sum(c)::bigint as n from v where length(word) >= 6 group by word having sum(c) >= 5),
+del as (select word, i, left(word, i) || substr(word, i + 2) as k from (select word, unnest(range(length(word))) as i from w)),
+shorter as (select distinct d.word as a, w.word as b from del d join w on d.k = w.word),
+near as (select x.word as a, y.word as b from del x join del y on x.k = y.k and x.i = y.i and x.word <> y.word union all select a, b from shorter union all select b, a from shorter),
+best as (select a as word, count(*) as n_near, arg_min(struct_pack(f := b, n := w.n), (-w.n, b)) as best from near join w on near.b = w.word group by a),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when best.best.n >= 5 * w.n then best.best.f end as form, case when best.best.n >= 5 * w.n then best.best.n end as form_n from w left join best on w.word = best.word),
+walk as (select word, word as at, form as up from f union all select walk.word, f.word, f.form from walk join f on walk.up = f.word)
+select f.word, f.form, walk.at as root, f.n, f.n_near, f.form_n from f join walk on f.word = walk.word where walk.up is null"""
+_FIM_SQL = """with t as (select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::bigint) as k from t),
+c as (select *, len(u) as n, least(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) as a, greatest(k[1] % (len(u) + 1), k[2] % (len(u) + 1)) as b,
+case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or k[3] % 100 >= 90 then 'plain' when k[4] % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, coalesce(array_to_string(u[1:a], ''), '') as prefix, coalesce(array_to_string(u[a + 1:b], ''), '') as middle, coalesce(array_to_string(u[b + 1:], ''), '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _license_sql(), "op7_ngram_jaccard_join": _JACCARD_SQL}
+    return {"op1_license_scan": _license_sql(), "op7_ngram_jaccard_join": _JACCARD_SQL, "op12_spelling_variants": _SPELLING_SQL, "op13_fill_in_middle": _FIM_SQL}
