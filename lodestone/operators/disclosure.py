@@ -25,7 +25,7 @@ RULES = [
 NEVER = ["BEGIN PRIVATE KEY", "password ="]
 ALLOW = ["127.0.0.1", "0.0.0.0"]
 SPAN_WORDS, TEXT_WORDS = 15, 40
-QUOTE = "[\"“]([^\"”]{2,})[\"”]"
+QUOTE = "[“\"]([^”\"]{2,})[”\"]"
 
 
 def _any_of(names: list[str]) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, tokens
+from .postings import PostingIndex
 
 # The least score of a hit, the constant of rank fusion, the idf of a term that the index does not know.
 MIN_SCORE, RRF_K, UNKNOWN_IDF = 0.03, 60, math.log(50)
@@ -48,20 +49,22 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
 RANK_IDS, RANK_STEPS = 1 << 16, 1_000_000
 
 
-def ranked_by_count(rows: DataFrame, count: str) -> DataFrame:
-    """rows(id, count) with their rank by count, then id. No task sees all rows: each part holds one count and a range of ids, and only the parts' sizes are added up in one place."""
+def ranked_by_count(rows: DataFrame, count: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows(id, count) with their rank by count, then id, within what `by` names. No task sees all rows: each part holds one count and a range of ids, and only the parts' sizes are added up in one place."""
     parts = rows.withColumn("_part", F.floor(F.col("id") / RANK_IDS))
-    return _ranked_parts(parts, [F.desc(count), F.asc("_part")], [count, "_part"], [F.asc("id")])
+    return _ranked_parts(parts, [F.desc(count), F.asc("_part")], [count, "_part"], [F.asc("id")], by)
 
 
-def ranked_by_score(rows: DataFrame, score: str, then: str) -> DataFrame:
-    """rows(score, then) with their rank by the score, then a column that breaks ties; each part holds a small range of scores."""
-    return _ranked_parts(rows.withColumn("_part", F.floor(F.col(score) * RANK_STEPS)), [F.desc("_part")], ["_part"], [F.desc(score), F.asc(then)])
+def ranked_by_score(rows: DataFrame, score: str, *then: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows(score, then) with their rank by the score, then columns that break ties; each part holds a small range of scores."""
+    return _ranked_parts(rows.withColumn("_part", F.floor(F.col(score) * RANK_STEPS)), [F.desc("_part")], ["_part"], [F.desc(score), *[F.asc(t) for t in then]], by)
 
 
-def _ranked_parts(rows: DataFrame, order: list[Column], key: list[str], inner: list[Column]) -> DataFrame:
+def _ranked_parts(rows: DataFrame, order: list[Column], key: list[str], inner: list[Column], by: tuple[str, ...]) -> DataFrame:
+    key = [*by, *key]
     sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
     ranks = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*key).orderBy(*inner))).join(before, key)
     return ranks.withColumn("rank", (F.col("_at") + F.col("_before")).cast("int")).drop("_at", "_before", "_part")
 
@@ -142,37 +145,50 @@ def layer(one: Column, two: Column) -> Column:
     return F.when(one.isNotNull() & two.isNotNull(), "both layers").when(one.isNotNull(), "keyword only").otherwise("tfidf only")
 
 
+def asked(spark: SparkSession, queries: dict[str, list[str]]) -> DataFrame:
+    """(query, term) of the tokens of some queries by name."""
+    return spark.createDataFrame([(q, t) for q, terms in queries.items() for t in dict.fromkeys(terms)], "query string, term string")
+
+
+def top_of(value: str | None, default: int = 3) -> int:
+    """How many results an option asks for: the whole number that it begins with; where there is none, or it is 0, the default."""
+    found = re.match(r"\s*([+-]?[0-9]+)", value or "")
+    return int(found[1]) or default if found else default
+
+
 class Index:
-    """A TF-IDF index of sections(id, ord, title, text): built once, kept as tables by save(), and read back by load()."""
+    """A TF-IDF index of sections(id, ord, title, text), kept as tables below a path: built once, opened again, and added to. Queries may have a stop list of their own."""
 
-    def __init__(self, sections: DataFrame, weight: DataFrame, idf: DataFrame, norm: DataFrame):
-        self.sections, self.weight, self.idf, self.norm = sections, weight, idf, norm
+    def __init__(self, postings: PostingIndex):
+        self.postings, self.idf, self.norm, self.sections = postings, postings.terms, postings.norms, postings.docs
 
     @classmethod
-    def build(cls, sections: DataFrame) -> Index:
-        counts = term_counts(sections)
-        idf = idf_table(counts, sections.count())
-        weight = weights(counts, idf)
-        return cls(sections, weight, idf, norms(weight))
-
-    def save(self, path: str) -> None:
-        self.weight.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weight")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
-        self.norm.write.mode("overwrite").parquet(f"{path}/norm")
+    def build(cls, sections: DataFrame, path: str | None = None, stop: list[str] | None = None) -> Index:
+        return cls(PostingIndex.build(sections, path, stop))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, sections: DataFrame) -> Index:
-        return cls(sections, *[spark.read.parquet(f"{path}/{part}") for part in ("weight", "idf", "norm")])
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        return cls(PostingIndex(spark, path))
 
-    def semantic(self, query: str, strict: bool = False) -> DataFrame:
-        """(id, score) of all sections that reach the least score. A query of stop words alone finds nothing, or with `strict` is an error."""
-        words = query_tokens(query)
+    def added(self, sections: DataFrame) -> Index:
+        return Index(self.postings.added(sections))
+
+    def _asked(self, query: str, stop: list[str] | None, strict: bool = False) -> DataFrame:
+        words = query_tokens(query, stop)
         if strict and not words:
             raise ValueError("the query has stop words only")
-        return cosine(self.weight, self.norm, query_vector(expand(words, self.idf, self.sections.sparkSession), self.idf))
+        return asked(self.postings.spark, {query: words})
+
+    def semantic(self, query: str, strict: bool = False, stop: list[str] | None = None) -> DataFrame:
+        """(id, score) of all sections that reach the least score. A query of stop words alone finds nothing, or with `strict` is an error."""
+        return self.postings.search(self._asked(query, stop, strict), MIN_SCORE, UNKNOWN_IDF).select("id", "score")
+
+    def best(self, query: str, top: int = 3, stop: list[str] | None = None) -> DataFrame:
+        """(id, score, rank) of the best sections that reach the least score, without scoring those that can't be among them."""
+        return self.postings.top(self._asked(query, stop), top, MIN_SCORE, UNKNOWN_IDF).select("id", "score", "rank")
 
-    def keyword(self, query: str) -> DataFrame:
-        return keyword_hits(postings(self.sections), query_tokens(query))
+    def keyword(self, query: str, stop: list[str] | None = None) -> DataFrame:
+        return self.postings.keyword_hits(self._asked(query, stop)).select("id", "hits")
 
     def hybrid(self, query: str, top: int = 5) -> DataFrame:
         """The fused ranking: limit first, then titles, so a missing section shortens the result."""

@@ -51,7 +51,7 @@ def index_composed(spark, sf):
     rows = sections(spark, sf).select("id", "ord", "title", F.col("file").alias("description"))
     related = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("quality"), F.col("quality").cast("string")).alias("topic"))
     index = search.Index.build(search.composed(rows, search.postings(rows), related))
-    return index.weight.groupBy("id").agg(F.count("*").alias("terms"), F.sum(F.round(F.col("weight") * 10000).cast("long")).alias("weight"))
+    return index.postings.weights().groupBy("id").agg(F.count("*").alias("terms"), F.sum(F.round(F.col("weight") * 10000).cast("long")).alias("weight"))
 
 
 def section_nested(spark, sf):

@@ -174,7 +174,7 @@ QUERIES = {
     "disclosure_pages": (disclosure_pages, _scan_sql(f"select page_id as id, {_PROSE} as text from pages")),
     "quote_budget": (
         quote_budget,
-        "with s as (select doc_id as id, regexp_extract_all(text, '[\"“]([^\"”]{2,})[\"”]', 1) as spans from documents), w as (select id, len(spans) as spans, list_transform(spans, lambda x: len(regexp_split_to_array(trim(x), '\\s+'))) as words from s) select id, spans, coalesce(list_sum(words), 0)::bigint as words, len(list_filter(words, lambda n: n > 15)) as long_spans, coalesce(list_sum(words), 0) > 40 as over_budget from w",
+        f"with s as (select doc_id as id, regexp_extract_all(text, '{disclosure.QUOTE}', 1) as spans from documents), w as (select id, len(spans) as spans, list_transform(spans, lambda x: len(regexp_split_to_array(trim(x), '\\s+'))) as words from s) select id, spans, coalesce(list_sum(words), 0)::bigint as words, len(list_filter(words, lambda n: n > 15)) as long_spans, coalesce(list_sum(words), 0) > 40 as over_budget from w",
     ),
     "html_prose": (html_prose, f"select page_id, md5({_PROSE}) as prose from pages"),
     "json_strings": (json_strings, "select event_id, '$.event_type' as path, event_type as value from events union all select event_id, '$.deep.list[0]', event_type from events union all select event_id, '$.deep.list[1]', 'x' from events"),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import diff, graph, registry, search
+from ..operators.postings import FORMAT
+from ..sources import kept
 from ..sources.tables import sections, table
 
 QUERY = "idiot licensed thereat onblereon moron"
@@ -30,11 +32,16 @@ _EXPAND = """x as (select term from a union select d.term from d join (select te
 on starts_with(d.term, q.term) and length(q.term) >= 0.6 * length(d.term) or starts_with(q.term, d.term) and length(d.term) >= 4 or contains(d.term, q.term) and length(q.term) >= 5)"""
 _SCORE = f"""{_EXPAND}, v as (select x.term, coalesce(d.idf, ln(50)) as q from x left join d on x.term = d.term),
 z as (select w.id, sum(w.weight * v.q) / (any_value(n.norm) * (select sqrt(sum(q * q)) from v)) as score from w join v on w.term = v.term join n on w.id = n.id where n.norm > 0 group by w.id having score >= 0.03)"""
+_QUESTIONS = f"a as (select distinct item_id::varchar as query, unnest({_TOKENS.format('text')}) as term from benchmark)"
+_NEAR = """y as (select q.term, d.term as near from d join (select distinct term from {asked} where length(term) >= 4 and term not in (select term from d)) q
+on starts_with(d.term, q.term) and length(q.term) >= 0.6 * length(d.term) or starts_with(q.term, d.term) and length(d.term) >= 4 or contains(d.term, q.term) and length(q.term) >= 5)"""
 _POSTING = f"p as (select id, unnest(list_distinct({_TOKENS.format('title')})) as keyword from s), pp as (select * from p where length(keyword) >= 4)"
 
 
 def _index(spark, sf):
-    return search.Index.build(sections(spark, sf))
+    """The kept index of the documents: built where there is none of these files yet, then opened."""
+    rows = sections(spark, sf)
+    return search.Index.open(spark, kept.kept(spark, f"section-index-{FORMAT}", table(spark, sf, "documents"), lambda path: search.Index.build(rows, path)))
 
 
 def tfidf_search(spark, sf):
@@ -42,23 +49,49 @@ def tfidf_search(spark, sf):
 
 
 def semantic_top(spark, sf):
-    index = _index(spark, sf)
-    best = index.semantic(QUERY).orderBy(F.desc(F.round("score", 9)), "id").limit(3)
+    best = _index(spark, sf).best(QUERY, 3)
     return best.select("id", F.round("score", 6).alias("score"), search.score_band(F.col("score")).alias("band"))
 
 
 def keyword_search(spark, sf):
-    hits = search.keyword_hits(search.postings(sections(spark, sf)), search.query_tokens(LOOKUP, []))
+    hits = _index(spark, sf).keyword(LOOKUP, [])
     return search.ranked_by_count(hits, "hits")
 
 
 def keyword_lookup(spark, sf):
-    hits = search.keyword_hits(search.postings(sections(spark, sf)), LOOKUP.split(" "), raw=True)
+    words = search.asked(spark, {LOOKUP: LOOKUP.split(" ")})
+    hits = _index(spark, sf).postings.keyword_hits(words).select("id", F.col("matches").alias("hits"))
     return search.ranked_by_count(hits, "hits")
 
 
 def query_expansion(spark, sf):
-    return search.expand(search.query_tokens(QUERY), _index(spark, sf).idf, spark)
+    return _index(spark, sf).postings.expanded(search.asked(spark, {QUERY: search.query_tokens(QUERY)})).select("term")
+
+
+def _questions(spark, sf):
+    """(query, term): the tokens of every benchmark item, as queries."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+
+
+def _cut_words(asked):
+    """The words of queries without their last letters, as a typing reader leaves them."""
+    return asked.where(F.length("term") >= 6).select("query", F.expr("left(term, length(term) - 2)").alias("term"))
+
+
+def keyword_search_many(spark, sf):
+    """Every benchmark item as a query: the sections that hold its tokens, ranked within each query."""
+    hits = _index(spark, sf).postings.keyword_hits(_questions(spark, sf)).select("query", "id", "hits")
+    return search.ranked_by_count(hits, "hits", by=("query",))
+
+
+def query_expansion_many(spark, sf):
+    return _index(spark, sf).postings.expanded(_cut_words(_questions(spark, sf)))
+
+
+def semantic_top_many(spark, sf):
+    """The three best sections for every benchmark item."""
+    best = _index(spark, sf).postings.top(_questions(spark, sf), 3, search.MIN_SCORE, search.UNKNOWN_IDF)
+    return best.select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def index_idf(spark, sf):
@@ -239,6 +272,21 @@ QUERIES = {
         f"with {_SECTIONS}, {_POSTING}, q as (select unnest(['the', 'erth', 'ing']) as token), h as (select id, count(*) as hits from pp join q on contains(lower(keyword), token) group by id) select id, hits, row_number() over (order by hits desc, id)::int as rank from h",
     ),
     "query_expansion": (query_expansion, f"with {_INDEX}, {_asked(QUERY)}, {_EXPAND} select distinct term from x"),
+    "keyword_search_many": (
+        keyword_search_many,
+        f"with {_SECTIONS}, {_POSTING}, {_QUESTIONS}, h as (select query, id, count(distinct term) as hits from pp join a on contains(keyword, term) group by query, id) select query, id, hits, row_number() over (partition by query order by hits desc, id)::int as rank from h",
+    ),
+    "query_expansion_many": (
+        query_expansion_many,
+        f"with {_INDEX}, {_QUESTIONS}, c2 as (select distinct query, left(term, length(term) - 2) as term from a where length(term) >= 6), {_NEAR.format(asked='c2')} select query, term from c2 union select query, near from c2 join y on c2.term = y.term",
+    ),
+    "semantic_top_many": (
+        semantic_top_many,
+        f"""with {_INDEX}, {_QUESTIONS}, {_NEAR.format(asked='a')}, x as (select query, term from a union select query, near from a join y on a.term = y.term),
+v as (select x.query, x.term, coalesce(d.idf, ln(50)) as q from x left join d on x.term = d.term), l as (select query, sqrt(sum(q * q)) as length from v group by query),
+z as (select v.query, w.id, sum(w.weight * v.q) / (any_value(n.norm) * any_value(l.length)) as score from w join v on w.term = v.term join n on w.id = n.id join l on v.query = l.query where n.norm > 0 group by v.query, w.id having score >= 0.03),
+r as (select *, row_number() over (partition by query order by round(score, 9) desc, id)::int as rank from z) select query, id, round(score, 6) as score, rank from r where rank <= 3""",
+    ),
     "index_idf": (index_idf, f"with {_INDEX} select term, df, round(idf, 6) as idf from d"),
     "index_norms": (index_norms, f"with {_INDEX} select id, terms, round(norm, 6) as norm from n"),
     "idf_range": (idf_range, f"with {_INDEX} select count(*) as terms, round(min(idf), 6) as least, round(max(idf), 6) as most from d"),

@@ -62,9 +62,8 @@ def test_hybrid(sections):
 
 
 def test_index_is_kept(sections, spark, tmp_path):
-    index = search.Index.build(sections)
-    index.save(str(tmp_path))
-    again = search.Index.load(spark, str(tmp_path), sections)
+    index = search.Index.build(sections, f"{tmp_path}/index")
+    again = search.Index.open(spark, f"{tmp_path}/index")
     assert rows(again.semantic("window rank").select("id", F.round("score", 9))) == rows(index.semantic("window rank").select("id", F.round("score", 9)))
 
 
