@@ -5,12 +5,14 @@ The rules are neutral and are parameters. Boundaries are ASCII, spelt out, as Ja
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LEFT, RIGHT, html_to_prose
-from ..sources.documents import walk
+from ..sources.json_walk import readable_text
+from .automaton import Listed, listed
 
 # Shapes by rule, each as (rule, pattern, least length of a hit); the most words of a quoted span and of all spans of a text; what a quoted span is.
 RULES = [
@@ -42,27 +44,37 @@ def namespaced(spaces: list[str] | None = None) -> tuple[str, str, int]:
     return "namespaced", LEFT + (_any_of(spaces) if spaces else "[a-z][a-z0-9]*") + "__[a-z][a-z0-9_]*" + RIGHT, 0
 
 
-def called(symbols: list[str]) -> tuple[str, str, int]:
+def called(symbols: list[str]) -> Listed:
     """Curated symbols before an opening bracket, which is no part of the hit."""
-    return "called", LEFT + _any_of(symbols) + "(?=[(])", 0
+    return Listed("called", tuple(symbols), right=False, before="(")
 
 
-def worded(words: list[str]) -> tuple[str, str, int]:
+def worded(words: list[str]) -> Listed:
     """Curated words, letters of any case."""
-    return "worded", "(?i)" + LEFT + _any_of(words) + RIGHT, 0
+    return Listed("worded", tuple(words), fold=True)
+
+
+#: A sign that every hit of a shape has, so that texts without it are not searched for the shape.
+NEEDS = {"snake-case": "_", "e-mail": "@", "namespaced": "__"}
 
 
 def scan(texts: DataFrame, rules=None, never=None, allow=None) -> DataFrame:
-    """(id, rule, hit) of texts(id, text): each shape's hits but those allowed, and the never list's entries, which no allowance covers."""
+    """(id, rule, hit) of texts(id, text): each shape's hits but those allowed, those of listed words, and the never list's entries, which no allowance covers.
+
+    Shapes are patterns for the JVM; all lists are one automaton, whatever their length."""
     rules, never, allow = rules if rules is not None else RULES, never if never is not None else NEVER, allow if allow is not None else ALLOW
+
     def shaped(name: str, pattern: str, least: int):
         hits = F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda h: (F.length(h) >= least) & ~h.isin(allow))
-        return F.transform(hits, lambda h: F.struct(F.lit(name).alias("rule"), h.alias("hit")))
+        rows = F.transform(hits, lambda h: F.struct(F.lit(name).alias("rule"), h.alias("hit")))
+        return F.when(F.contains("text", F.lit(NEEDS[name])), rows).otherwise(F.array().cast("array<struct<rule: string, hit: string>>")) if name in NEEDS else rows
 
-    parts = [shaped(*r) for r in rules]
-    listed = F.filter(F.array(*[F.lit(n) for n in never]), lambda n: F.contains(F.col("text"), n))
-    parts.append(F.transform(listed, lambda h: F.struct(F.lit("never").alias("rule"), h.alias("hit"))))
-    return texts.select("id", F.explode(F.concat(*parts)).alias("h")).select("id", "h.rule", "h.hit")
+    shapes = [r for r in rules if not isinstance(r, Listed)]
+    lists = [r for r in rules if isinstance(r, Listed)] + ([Listed("never", tuple(never), left=False, right=False, once=True)] if never else [])
+    parts = [texts.select("id", F.explode(F.concat(*[shaped(*r) for r in shapes])).alias("h")).select("id", "h.rule", "h.hit")] if shapes else []
+    if lists:
+        parts.append(listed(texts, lists, allow))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def quotes(texts: DataFrame, key: str = "id") -> DataFrame:
@@ -74,10 +86,6 @@ def quotes(texts: DataFrame, key: str = "id") -> DataFrame:
 
 
 def scope(files: DataFrame) -> DataFrame:
-    """files(id, ext, content) as (id, text) to scan: prose of HTML, string values of JSON with their escapes read, all else as it is; JSON that cannot be read is scanned raw. Ids are unique."""
-    json = files.where("ext = 'json'").select("id", "content", F.try_parse_json("content").isNotNull().alias("whole"))
-    strings = walk(json.where("whole"), "id", "content").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "value"))), lambda x: x["value"]), "\n").alias("text"))  # a file's own strings
-    read = json.where("whole").select("id").join(strings, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
-    raw = json.where("not whole").select("id", F.col("content").alias("text"))
+    """files(id, ext, content) as (id, text) to scan: prose of HTML, string values of JSON with their escapes read, all else as it is; JSON that cannot be read is scanned raw."""
     plain = files.where("ext is null or ext <> 'json'").select("id", F.when(F.col("ext") == "html", html_to_prose(F.col("content"))).otherwise(F.col("content")).alias("text"))
-    return plain.unionByName(read).unionByName(raw)
+    return plain.unionByName(readable_text(files.where("ext = 'json'")))

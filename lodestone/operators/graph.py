@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import automaton
+
 
 def neighbours(seeds: DataFrame, edges: DataFrame, threshold: float = 0.78, best: bool = False) -> DataFrame:
     """(dst, relevance, via, reason) of seeds(src, seed_pos) over edges(src, pos, dst, relevance, reason), seeds left out.
@@ -25,19 +27,11 @@ def titled(rows: DataFrame, id_column: str, titles: DataFrame) -> DataFrame:
 def symptoms(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, symptom, matched array) of texts(id, text) that contain one of a symptom's patterns(symptom, pattern array), letters of any case, patterns in their order.
 
-    A pattern of three words or more has a word with blanks on both sides, and a text that contains the pattern has that word between blanks too; its longest such word leads pattern and text together. Patterns
-    without one are compared with every text; both are joins that Spark plans by checked sizes. Ids of texts are unique."""
-    low = texts.select("id", F.lower("text").alias("low"))
+    One automaton finds all patterns in one pass over the texts; what it found is then joined with the symptoms by pattern. Ids of texts are unique."""
+    low = texts.select("id", F.lower("text").alias("text"))
     single = patterns.select("symptom", F.posexplode("pattern").alias("pos", "pattern")).withColumn("p", F.lower("pattern"))
-    words = F.split("p", " ")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = single.withColumn("word", longest)
-    led = keyed.where("word is not null")
-    words_of = low.select("id", F.explode(F.array_distinct(F.split("low", " "))).alias("word"))
-    met = words_of.join(led, "word").drop("word").join(low, "id").where(F.contains("low", F.col("p")))
-    rest = low.join(keyed.where("word is null").drop("word"), F.contains("low", F.col("p")))
-    hits = met.select("id", "symptom", "pos", "pattern").unionByName(rest.select("id", "symptom", "pos", "pattern"))
+    found = automaton.found(low, single.select(F.col("p").alias("pattern"))).select("id", F.col("pattern").alias("p"))
+    hits = found.join(single, "p")
     return hits.groupBy("id", "symptom").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "pattern"))), lambda x: x["pattern"]).alias("matched"))
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import disclosure, rules
-from ..sources.documents import numbered_lines, walk
+from ..sources.documents import numbered_lines
+from ..sources.json_walk import walk
 from ..sources.tables import table
 
 

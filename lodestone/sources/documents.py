@@ -71,21 +71,6 @@ def front_list(value: Column) -> Column:
     return F.when(F.startswith(value, F.lit("[")), F.from_json(value, "array<bigint>"))
 
 
-def walk(rows: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """(id, path, value): every string value of a JSON text at any depth, by exploding VARIANT values level by level, without a UDF; levels end where no row has a deeper one, which a job finds out."""
-    level = rows.select(id_column, F.lit("$").alias("path"), F.try_parse_json(json_column).alias("v")).where("v is not null")
-    out = None
-    while True:
-        kind = F.schema_of_variant("v")
-        strings = level.where(kind == "STRING").select(id_column, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = strings if out is None else out.unionByName(strings)
-        inner = level.where(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        step = "concat(path, case when t.key is null then concat('[', t.pos, ']') else concat('.', t.key) end) as path"
-        level = rows.sparkSession.sql(f"select `{id_column}`, {step}, t.value as v from {{inner}}, lateral variant_explode(v) as t", inner=inner)
-        if level.isEmpty():
-            return out
-
-
 def payload_field(payload: Column, field: str) -> Column:
     """A string field of an event's JSON payload; of a payload that cannot be read, what a pattern finds."""
     found = F.regexp_extract(payload, f'"{field}"[ \\t]*:[ \\t]*"([^"]*)"', 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import diff, disclosure, graph, publish, registry, rules, search
 from lodestone.sources import documents as D
+from lodestone.sources.json_walk import walk
 from lodestone.streaming.incremental import start_index, term_totals
 
 
@@ -211,7 +212,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "raw.bin").write_bytes(b"ok \xff end")
     assert D.lossy_files(spark, str(tmp_path / "raw.bin")).first()["content"] == "ok � end"
     deep = spark.createDataFrame([(1, '{"a": {"b": ["x", {"c": "y"}], "n": 1}}'), (2, "broken{")], "id long, j string")
-    assert rows(D.walk(deep, "id", "j")) == [(1, "$.a.b[0]", "x"), (1, "$.a.b[1].c", "y")]
+    assert rows(walk(deep, "id", "j")) == [(1, "$.a.b[0]", "x"), (1, "$.a.b[1].c", "y")]
     D.write_index_document(deep, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
     assert D.version_stamp(spark, '{"v": "1.2", "n": 3, "x": null}').first() == ("1.2", "3", None)
