@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import conditions
+
 COLUMNS = ["rule_id", "severity", "entity", "field", "hit"]
 
 
@@ -51,20 +53,19 @@ def required(rows: DataFrame, entity: str, fields: list[str], trimmed: bool = Tr
 
 
 def constant(rows: DataFrame, entity: str, field: str, value) -> DataFrame:
-    return finding(rows, ~F.col(field).eqNullSafe(F.lit(value)), entity, field)
+    return finding(rows, conditions.not_constant(field, value), entity, field)
 
 
 def enum(rows: DataFrame, entity: str, field: str, allowed: list) -> DataFrame:
-    return finding(rows, ~F.col(field).isin(allowed), entity, field)
+    return finding(rows, conditions.not_among(field, allowed), entity, field)
 
 
 def prefix_by_kind(rows: DataFrame, entity: str, field: str, kind: str, prefixes: dict[str, str]) -> DataFrame:
-    want = F.coalesce(*[F.when(F.col(kind) == k, F.lit(p)) for k, p in prefixes.items()])
-    return finding(rows, ~F.startswith(F.col(field), want), entity, field)
+    return finding(rows, conditions.other_prefix(field, kind, prefixes), entity, field)
 
 
 def conditional(rows: DataFrame, entity: str, when: Column, field: str) -> DataFrame:
-    return finding(rows.where(when), F.col(field).isNull() | (F.col(field).cast("string") == ""), entity, field)
+    return finding(rows, conditions.missing_when(when, field), entity, field)
 
 
 def unique(rows: DataFrame, entity: str, field: str, order: str) -> DataFrame:
@@ -84,25 +85,25 @@ def childless(parents: DataFrame, key: str, children: DataFrame, field: str, exe
 
 
 def nonempty(rows: DataFrame, entity: str, field: str) -> DataFrame:
-    return finding(rows, F.size(F.coalesce(F.col(field), F.array())) == 0, entity, field, F.lit(None))
+    return finding(rows, conditions.empty(field), entity, field, F.lit(None))
 
 
 def matches(rows: DataFrame, entity: str, field: str, pattern: str) -> DataFrame:
-    return finding(rows, ~F.col(field).rlike(pattern), entity, field)
+    return finding(rows, conditions.not_like(field, pattern), entity, field)
 
 
 def lacks(rows: DataFrame, entity: str, field: str, pattern: str, group: int = 0) -> DataFrame:
     """Banned wording: rows whose text matches, with the first match."""
-    return finding(rows, F.coalesce(F.col(field).rlike(pattern), F.lit(False)), entity, field, F.regexp_extract(field, pattern, group))
+    return finding(rows, conditions.like(field, pattern), entity, field, F.regexp_extract(field, pattern, group))
 
 
 def iff(rows: DataFrame, entity: str, field: str, one: Column, two: Column) -> DataFrame:
     """Two predicates that must hold together or not at all."""
-    return finding(rows, ~one.eqNullSafe(two), entity, field)
+    return finding(rows, conditions.not_together(one, two), entity, field)
 
 
 def consistent(rows: DataFrame, entity: str, field: str, when: Column, then: Column) -> DataFrame:
-    return finding(rows.where(when), ~then, entity, field)
+    return finding(rows, conditions.broken(when, then), entity, field)
 
 
 def same_as_header(rows: DataFrame, entity: str, field: str, header: DataFrame, other: str) -> DataFrame:
@@ -120,11 +121,11 @@ def headers_equal(one: DataFrame, two: DataFrame, fields: list[str], skip_missin
 
 
 def sorted_array(rows: DataFrame, entity: str, field: str) -> DataFrame:
-    return finding(rows, F.col(field) != F.array_sort(field), entity, field, F.array_join(F.col(field).cast("array<string>"), ","))
+    return finding(rows, conditions.unsorted(field), entity, field, F.array_join(F.col(field).cast("array<string>"), ","))
 
 
 def contained(rows: DataFrame, entity: str, field: str, array: str) -> DataFrame:
-    return finding(rows, ~F.array_contains(F.col(array), F.col(field)), entity, field)
+    return finding(rows, conditions.not_within(field, array), entity, field)
 
 
 def anchored(rows: DataFrame, entity: str, lines: DataFrame, pattern: str) -> DataFrame:
@@ -134,7 +135,7 @@ def anchored(rows: DataFrame, entity: str, lines: DataFrame, pattern: str) -> Da
 
 
 def only_on(rows: DataFrame, entity: str, when: Column, field: str, place) -> DataFrame:
-    return finding(rows.where(when), F.col(field) != F.lit(place), entity, field)
+    return finding(rows, conditions.elsewhere(when, field, place), entity, field)
 
 
 def coverage(used: DataFrame, declared: list[str], field: str = "field") -> DataFrame:
@@ -143,7 +144,7 @@ def coverage(used: DataFrame, declared: list[str], field: str = "field") -> Data
 
 
 def sentences(rows: DataFrame, entity: str, field: str, least: int) -> DataFrame:
-    count = F.size(F.filter(F.split(F.col(field), r"(?<=\.)\s"), lambda x: x != ""))
+    count = conditions.sentence_count(field)
     return finding(rows, count < least, entity, field, count)
 
 
@@ -163,13 +164,9 @@ def prose(rows: DataFrame, entity: str, fields: list[str], arrays: list[str] | N
     return rows.select(F.explode(F.concat(*parts)).alias("p")).select("p.label", "p.text").where("text is not null")
 
 
-KINDS = {"string": "STRING", "number": "(?:BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*"}
-
-
 def typed(rows: DataFrame, entity: str, field: str, kind: str) -> DataFrame:
     """JSON values of a field that are not of that kind: string, number, boolean, array or object. What cannot be read, null included, is of none."""
-    found = F.schema_of_variant(F.try_parse_json(field))
-    return finding(rows, ~found.rlike(f"^{KINDS[kind]}$"), entity, field)
+    return finding(rows, conditions.other_kind(field, kind), entity, field)
 
 
 def derived(rows: DataFrame, entity: str, key: str, page: str, facts: DataFrame) -> DataFrame:

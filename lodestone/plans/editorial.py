@@ -79,10 +79,6 @@ y as (select o_orderkey from orders where year(o_orderdate) > 1997),
 z as (select 'quarantine' as rule_id, o_orderkey::varchar as entity, 'o_orderpriority' as field, o_orderpriority as hit from orders where o_orderstatus = 'P' and o_orderpriority is distinct from '5-LOW')"""
 
 
-def publish_gates(spark, sf):
-    return rules.gates([*_gate_findings(spark, sf), ("nothing", _gate_findings(spark, sf)[0][1].where("false"))])
-
-
 def gate_messages(spark, sf):
     """A report that shows the first 25 messages."""
     return rules.messages(_gate_findings(spark, sf)[2][1], 25)
@@ -177,10 +173,6 @@ select l.id, symptom, md5(array_to_string(matched, chr(10))) as matched, 'see it
     "index_composed": (index_composed, f"with {_COMPOSED}{_INDEX.removeprefix(_SECTIONS)} select id, count(*) as terms, sum(round(weight * 10000)::bigint)::bigint as weight from w group by id"),
     "section_nested": (section_nested, f"with {_SECTIONS} select file, min(ord) as first_ord, md5(string_agg(id || ':' || md5(title), ' ' order by ord)) as items from s group by file"),
     "nav_nested": (nav_nested, f"with {_SITE} select host, min(page_id) as first_ord, string_agg(page, ' ' order by page_id) as items from q group by host"),
-    "publish_gates": (
-        publish_gates,
-        f"with {_GATES}, g as (select 'existence' as gate, (select count(*) from x) as failures, 0 as flags union all select 'stamp', 0, (select count(*) from y) union all select 'quarantine', (select count(*) from z), 0 union all select 'nothing', 0, 0) select *, case when failures > 0 then 1 else 0 end as exit_code from g",
-    ),
     "gate_messages": (gate_messages, f"with {_GATES} select rule_id || ' ' || entity || ': ' || field || ' ' || coalesce(hit, '(missing)') as message from z order by message limit 25"),
     "home_view": (
         home_view,

@@ -28,16 +28,6 @@ def _rule(rule_id, find, sql, severity="fail"):
     return run, f"select '{rule_id}' as rule_id, '{severity}' as severity, entity, field, hit from ({sql})"
 
 
-_HEADERS = "select 'header' as entity, field, found as hit from (values ('cli', '4.1', '4.1'), ('desktop', '2.0', '2.1'), ('vm', null, '7')) as h(field, expected, found) where expected is not null and expected is distinct from found"
-
-
-def _headers(t):
-    spark = t["orders"].sparkSession
-    one = spark.createDataFrame([("4.1", "2.0", None)], "cli string, desktop string, vm string")
-    two = spark.createDataFrame([("4.1", "2.1", "7")], "cli string, desktop string, vm string")
-    return rules.headers_equal(one, two, ["cli", "desktop", "vm"])
-
-
 def _arrays(t):
     return t["conversations"].withColumn("words", T.tokens(F.col("text"), [])).withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
 
@@ -64,6 +54,13 @@ def wording_positional(spark, sf):
     return found.select("rule_id", "severity", "entity", "field")
 
 
+def wording_container(spark, sf):
+    """Words that point at their container are a finding, unless what follows says which one is meant."""
+    pattern = "(?i)" + T.LEFT + r"th(?:is|e)\s+(?:and|is)" + T.RIGHT + r"(?!\s+(?:for|of|a|by)" + T.RIGHT + ")"
+    found = rules.run([rules.Rule("V24", lambda t: rules.lacks(t["documents"], "doc_id", "text", pattern), needs=("documents",))], _tables(spark, sf))
+    return found.select("rule_id", "severity", "entity", "field")
+
+
 _PROSE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
 # The same shapes for RE2, whose \b is the ASCII one.
 _SHAPES = {
@@ -146,12 +143,10 @@ QUERIES = {
     "dq_nonempty": _rule("V9", lambda t: rules.nonempty(t["documents"].withColumn("numbers", F.regexp_extract_all("text", F.lit("[0-9]{6,}"), F.lit(0))), "doc_id", "numbers"), "select doc_id::varchar as entity, 'numbers' as field, null::varchar as hit from documents where not regexp_matches(text, '[0-9]{6,}')"),
     "dq_format": _rule("V10", lambda t: rules.matches(t["part"], "p_partkey", "p_brand", "^Brand#[0-9]$"), "select p_partkey::varchar as entity, 'p_brand' as field, p_brand as hit from part where not regexp_matches(p_brand, '^Brand#[0-9]$')"),
     "dq_shape_iff_namespace": _rule("V11", lambda t: rules.iff(t["events"], "event_id", "event_type", F.col("event_type") == "error", F.col("value") < 50), "select event_id::varchar as entity, 'event_type' as field, event_type as hit from events where (event_type = 'error') is distinct from (value < 50)"),
-    "dq_struct_by_namespace": _rule("V12", lambda t: rules.finding(t["labels"].withColumn("obs", F.when(F.col("toxic") == 1, "x")), F.col("quality").eqNullSafe(1) == F.col("obs").isNull(), "doc_id", "quality"), "select doc_id::varchar as entity, 'quality' as field, quality::varchar as hit from labels where coalesce(quality = 1, false) = (toxic is distinct from 1)"),
     "dq_consistent": _rule("V13", lambda t: rules.consistent(t["lineitem"], "l_orderkey", "l_returnflag", F.col("l_linestatus") == "O", F.col("l_returnflag") == "N"), "select l_orderkey::varchar as entity, 'l_returnflag' as field, l_returnflag as hit from lineitem where l_linestatus = 'O' and not coalesce(l_returnflag = 'N', false)"),
     "dq_snapshot_identity": _rule("V14", lambda t: rules.same_as_header(t["orders"].withColumn("as_of", F.date_format("o_orderdate", "yyyy")), "o_orderkey", "as_of", t["orders"].agg(F.date_format(F.max("o_orderdate"), "yyyy").alias("stamp")), "stamp"), "select o_orderkey::varchar as entity, 'as_of' as field, strftime(o_orderdate, '%Y') as hit from orders where strftime(o_orderdate, '%Y') is distinct from (select strftime(max(o_orderdate), '%Y') from orders)"),
     "dq_sorted_array": _rule("V15", lambda t: rules.sorted_array(_arrays(t), "key", "words"), f"select conv_id || '/' || turn as entity, 'words' as field, array_to_string(w, ',') as hit from (select conv_id, turn, {_TOK} as w from conversations) where w <> list_sort(w)"),
     "dq_contained": _rule("V16", lambda t: rules.contained(_arrays(t).withColumn("newest", F.lit("the")), "key", "newest", "words"), f"select conv_id || '/' || turn as entity, 'newest' as field, 'the' as hit from (select conv_id, turn, {_TOK} as w from conversations) where not list_contains(w, 'the')"),
-    "dq_headers_equal": _rule("V17", _headers, _HEADERS),
     "dq_line_anchor": _rule("V18", _anchors, f"select file as entity, 'start_line' as field, line as hit from (select * from ({'with ' + _LINES + ' select * from l'})) where line_no = 2 and not regexp_matches(line, '^[A-Z]')"),
     "dq_quarantine": _rule("V19", lambda t: rules.only_on(t["orders"], "o_orderkey", F.col("o_orderstatus") == "P", "o_orderpriority", "5-LOW"), "select o_orderkey::varchar as entity, 'o_orderpriority' as field, o_orderpriority as hit from orders where o_orderstatus = 'P' and o_orderpriority is distinct from '5-LOW'"),
     "dq_derived_rows": _rule("V20", lambda t: rules.finding(t["lineitem"].join(t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), F.to_date("o_orderdate").alias("ordered")), "l_orderkey"), ~(F.to_date("l_shipdate") >= F.col("ordered")), "l_orderkey", "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd")), "select l_orderkey::varchar as entity, 'l_shipdate' as field, strftime(l_shipdate, '%Y-%m-%d') as hit from lineitem join orders on l_orderkey = o_orderkey where l_shipdate::date < o_orderdate::date"),
@@ -161,7 +156,10 @@ QUERIES = {
         wording_positional,  # no lookahead in RE2: all hits, less those that a number follows
         r"select 'V23' as rule_id, 'fail' as severity, doc_id::varchar as entity, 'text' as field from documents where len(regexp_extract_all(text, '(?i)\b(?:of|by)\b', 0)) > len(regexp_extract_all(text, '(?i)\b(?:of|by) [0-9]', 0))",
     ),
-    "dq_wording_container": _rule("V24", lambda t: rules.lacks(t["documents"], "doc_id", "text", "(?i)" + T.LEFT + "th(?:is|e) (?:re|an)" + T.RIGHT), r"select doc_id::varchar as entity, 'text' as field, regexp_extract(text, '(?i)\bth(?:is|e) (?:re|an)\b', 0) as hit from documents where regexp_matches(text, '(?i)\bth(?:is|e) (?:re|an)\b')"),
+    "dq_wording_container": (
+        wording_container,  # no lookahead in RE2: all hits, less those that an exempt word follows; none of those begins a hit
+        r"select 'V24' as rule_id, 'fail' as severity, doc_id::varchar as entity, 'text' as field from documents where len(regexp_extract_all(text, '(?i)\bth(?:is|e)\s+(?:and|is)\b', 0)) > len(regexp_extract_all(text, '(?i)\bth(?:is|e)\s+(?:and|is)\s+(?:for|of|a|by)\b', 0))",
+    ),
     "dq_banned_phrase": _rule("V26", lambda t: rules.lacks(t["conversations"].withColumn("key", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))), "key", "text", "(?i)(?:thing|inha) *of"), "select conv_id || '/' || turn as entity, 'text' as field, regexp_extract(text, '(?i)(?:thing|inha) *of', 0) as hit from conversations where regexp_matches(text, '(?i)(?:thing|inha) *of')", "flag"),
     "dq_trimmed": _rule("V29", lambda t: rules.required(t["events"].withColumn("note", F.when(F.col("value") > 90, "  ").otherwise("x")), "event_id", ["note"]), "select event_id::varchar as entity, 'note' as field, null::varchar as hit from events where value > 90"),
     "dq_write_paths": _rule("C14", lambda t: rules.lacks(t["pages"], "page_id", "url", "[.](?:html|htm)(?:[?#]|$)"), "select page_id::varchar as entity, 'url' as field, regexp_extract(url, '[.](?:html|htm)(?:[?#]|$)', 0) as hit from pages where regexp_matches(url, '[.](?:html|htm)(?:[?#]|$)')", "flag"),
