@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import diff, graph, registry, search
+from ..operators import diff, extract, graph, registry, search, snapshots
 from ..operators.postings import FORMAT
 from ..sources import kept
 from ..sources.tables import sections, table
@@ -244,6 +244,61 @@ def unconfirmed_additions(spark, sf):
     return diff.unconfirmed(added, events.where("event_id % 2 = 0").select(*key).distinct(), key)
 
 
+def _event_snapshots(spark, sf):
+    """The last value of each user and type, a day before the last event and at it."""
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("ts").alias("last"))
+    events = events.crossJoin(F.broadcast(last))  # one row
+    keys = ["user_id", "event_type"]
+    old, new = (diff.last_wins(rows, keys, "value", "event_id") for rows in (events.where("ts < last - interval 1 hour"), events))
+    return [snapshots.Snapshot.write(rows, keys, "value", kept.fresh_path(spark, "snapshot"), bits=5) for rows in (old, new)]
+
+
+def snapshot_bucket_diff(spark, sf):
+    """What one hour of events changed, from the buckets whose digests differ."""
+    old, new = _event_snapshots(spark, sf)
+    return old.diff(new)
+
+
+_EVENT_SNAP = """h as (select max(ts) - interval 1 hour as half from events), o as (select user_id, event_type, arg_max(value, event_id) as v from events, h where ts < half group by all), n as (select user_id, event_type, arg_max(value, event_id) as v from events group by all)"""
+
+#: A line's first word as a name, and what may follow it: a word behind a comma, one behind "of", or at least an end of a sentence.
+NAMED, DETAILS, WINDOW = "\n([A-Z][a-z]+)", [(", ([a-z]+)", None), (" of ([a-z]+)", None), ("[.]", "(bare)")], 80
+#: Patterns of one pass, one of them with a group.
+PLACED = {"number": "[0-9]+", "sentence": "[.] ([A-Z])", "pair": "th[a-z]*ing"}
+
+
+def placed_matches(spark, sf):
+    """Every match of several patterns with its place in the text."""
+    return extract.matches(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), PLACED)
+
+
+def _definitions(spark, sf):
+    rows = extract.definitions(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), NAMED, DETAILS, WINDOW)
+    return rows.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
+
+
+def placed_definitions(spark, sf):
+    """Each document's definitions, the last one of a name by its place."""
+    return diff.last_wins(_definitions(spark, sf).withColumn("place", F.col("at")), ["id", "name"], "value", "place")
+
+
+def definition_map_diff(spark, sf):
+    """The definitions that the sources' even documents leave against those of the odd ones, the last by document and place."""
+    rows = _definitions(spark, sf).withColumn("place", F.struct("id", "at"))
+    old, new = (diff.last_wins(rows.where(F.col("id") % 2 == k), ["source", "name"], "value", "place") for k in (0, 1))
+    return diff.map_diff(old, new, ["source", "name"], "value")
+
+
+# the i-th match lies behind the pieces between matches and the matches before it
+_AT = "list_sum(list_transform({pieces}[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform({hits}[1:i - 1], lambda x: length(x))), 0)::bigint"
+_DEFINED = f"""h as (select doc_id as id, source, text, regexp_extract_all(text, '\n[A-Z][a-z]+') as hits, regexp_split_to_array(text, '\n[A-Z][a-z]+') as pieces from documents), j as (select *, unnest(range(1, len(hits) + 1)) as i from h),
+k as (select id, source, hits[i][2:] as name, {_AT.format(pieces="pieces", hits="hits")} as place, text from j), w as (select *, substr(text, place + 1, 80) as part from k),
+d as (select id, source, name, place, case when regexp_matches(part, ', [a-z]+') then regexp_extract(part, ', ([a-z]+)', 1) when regexp_matches(part, ' of [a-z]+') then regexp_extract(part, ' of ([a-z]+)', 1) when contains(part, '.') then '(bare)' end as value from w)"""
+_PLACED_SQL = "with " + " , ".join(
+    f"h{k} as (select doc_id as id, regexp_extract_all(text, '{p}') as hits, regexp_split_to_array(text, '{p}') as pieces from documents), j{k} as (select id, hits, pieces, unnest(range(1, len(hits) + 1)) as i from h{k})" for k, p in enumerate(PLACED.values())
+) + " " + " union all ".join(f"select id, '{n}' as family, {'hits[i][3:]' if '(' in p else 'hits[i]'} as value, {_AT.format(pieces='pieces', hits='hits')} as at from j{k}" for k, (n, p) in enumerate(PLACED.items()))
+
 FAMILIES = {"version": "[0-9]+[.][0-9]+[.][0-9]+", "token": "token = \"[0-9a-f]+\"", "mail": "[A-Za-z0-9.]+@[a-z0-9.]+"}
 
 
@@ -348,6 +403,15 @@ case when keyword_rank is not null and tfidf_rank is not null then 'both layers'
         unconfirmed_additions,
         "with h as (select count(*) // 2 as half from events), e as (select *, floor(value / 20)::int as band from events, h) select distinct user_id, event_type, band from e where event_id >= half and (user_id, event_type, band) not in (select (user_id, event_type, band) from e where event_id < half or event_id % 2 = 0)",
     ),
+    "snapshot_bucket_diff": (snapshot_bucket_diff, f"with {_EVENT_SNAP}, {_DIFF} select * from d where status <> 'unchanged'"),
+    "placed_matches": (placed_matches, _PLACED_SQL),
+    "placed_definitions": (placed_definitions, f"with {_DEFINED} select id, name, arg_max(value, place) as value from d where value is not null group by id, name"),
+    "definition_map_diff": (
+        definition_map_diff,
+        f"""with {_DEFINED}, l as (select source, name, id % 2 as side, arg_max(value, (id, place)) as value from d where value is not null group by all), o as (select * from l where side = 0), n as (select * from l where side = 1)
+select coalesce(o.source, n.source) as source, coalesce(o.name, n.name) as name, o.value as old_value, n.value as new_value, case when o.name is null then 'added' when n.name is null then 'removed' when o.value = n.value then 'unchanged' else 'changed' end as status
+from o full join n on o.source = n.source and o.name = n.name""",
+    ),
     "extracted_identifiers": (extracted_identifiers, _FAMILY_SQL),
     "embedding_topk": (
         embedding_topk,
