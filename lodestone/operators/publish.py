@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
+from .search import ranked_by_count
 
 SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"
 
@@ -127,3 +128,23 @@ def rendered_counts(views: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(key, n) of a Markdown view's list items and of an HTML view's, of views(key, md, html), to be held against each other by parity()."""
     count = lambda column, pattern: F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(pattern)).cast("long").alias("n")
     return views.select(key, count("md", "(?m)^- ")), views.select(key, count("html", "<li[ >]"))
+
+
+#: Addresses of one sitemap file, by the format's own limit.
+SITEMAP_URLS = 50_000
+
+
+def sitemap_files(pages: DataFrame, day: Column, base: str, most: int = SITEMAP_URLS) -> DataFrame:
+    """(rel, content) of the sitemaps of pages(ord, url), in the order of ord, which tells pages apart: one file up to `most` addresses, else numbered files and, as sitemap.xml, an index of them at `base`."""
+    head = '<?xml version="1.0" encoding="UTF-8"?>'
+    space = "http://www.sitemaps.org/schemas/sitemap/0.9"
+    place = ranked_by_count(pages.select(F.lit(0).alias("_all"), F.col("ord").alias("id"), "url"), "_all").withColumn("file", F.floor((F.col("rank") - 1) / most))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", sitemap_entry(F.col("url"), day).alias("line")))), lambda x: x["line"])
+    files = place.groupBy("file").agg(F.array_join(lines, "\n").alias("body"))  # at most `most` addresses
+    files = files.select("file", F.concat(F.lit(f'{head}\n<urlset xmlns="{space}">\n'), "body", F.lit("\n</urlset>\n")).alias("content"))
+    several = files.agg(F.max("file").alias("last")).select((F.col("last") > 0).alias("several"))
+    named = files.crossJoin(F.broadcast(several)).select(F.when(F.col("several"), F.concat(F.lit("sitemap-"), (F.col("file") + 1).cast("string"), F.lit(".xml"))).otherwise("sitemap.xml").alias("rel"), "content")  # one row
+    last = place.agg(F.max("file").alias("last")).where("last > 0")
+    names = F.transform(F.sequence(F.lit(1).cast("long"), F.col("last") + 1), lambda k: F.concat(F.lit(f"<sitemap><loc>{base}/sitemap-"), k.cast("string"), F.lit(".xml</loc></sitemap>")))
+    index = last.select(F.lit("sitemap.xml").alias("rel"), F.concat(F.lit(f'{head}\n<sitemapindex xmlns="{space}">\n'), F.array_join(names, "\n"), F.lit("\n</sitemapindex>\n")).alias("content"))
+    return named.unionByName(index)

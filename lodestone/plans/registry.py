@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import editorial, gates, publishing, quality, retrieval
+from . import editorial, files, gates, publishing, quality, retrieval
 
-_ALL = retrieval.QUERIES | quality.QUERIES | publishing.QUERIES | editorial.QUERIES | gates.QUERIES
+_ALL = retrieval.QUERIES | quality.QUERIES | publishing.QUERIES | editorial.QUERIES | gates.QUERIES | files.QUERIES
 
 
 def queries() -> dict:
