@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import automaton
+from .search import ranked_by_count, ranked_by_score
 
 
 def neighbours(seeds: DataFrame, edges: DataFrame, threshold: float = 0.78, best: bool = False) -> DataFrame:
@@ -18,6 +19,11 @@ def neighbours(seeds: DataFrame, edges: DataFrame, threshold: float = 0.78, best
     return first.select("dst", "relevance", F.col("src").alias("via"), "reason", "seed_pos", "pos")
 
 
+def in_order(found: DataFrame) -> DataFrame:
+    """neighbours() with their rank: by relevance, those of equal relevance in the order in which they were discovered."""
+    return ranked_by_score(found, "relevance", "seed_pos", "pos")
+
+
 def titled(rows: DataFrame, id_column: str, titles: DataFrame) -> DataFrame:
     """rows with `title`, that of titles(id, title) or, where there is none, a default that names the id."""
     named = rows.join(titles.select(F.col("id").alias(id_column), "title"), id_column, "left")
@@ -49,15 +55,26 @@ def fetch(sections: DataFrame) -> DataFrame:
     return sections.withColumn("body", F.array_join(F.slice(lines, start, F.greatest(stop - start + 1, F.lit(0))), "\n"))
 
 
+def by_id(sections: DataFrame) -> DataFrame:
+    """sections(file, id, ...) with their rank by id within their file."""
+    return ranked_by_count(sections.withColumn("_all", F.lit(0)), "_all", by=("file",)).drop("_all")
+
+
 def listing(sections: DataFrame) -> DataFrame:
     """(file, first_ord, sections, ...): sections by file, with the order of first appearance."""
     return sections.groupBy("file").agg(F.min("ord").alias("first_ord"), F.count("*").alias("sections"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("line_count").alias("lines"))
 
 
-def nested(sections: DataFrame, group: str, *fields: str) -> DataFrame:
-    """(group, first_ord, items): a group's rows in order, groups numbered by first appearance. A group is a file's sections or a site part's pages, which are bounded by what a reader is shown."""
-    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return sections.groupBy(group).agg(F.min("ord").alias("first_ord"), items.alias("items"))
+#: Items of one row of a nested listing.
+PAGE_ITEMS = 10_000
+
+
+def nested(sections: DataFrame, group: str, *fields: str, most: int = PAGE_ITEMS) -> DataFrame:
+    """(group, first_ord, page, items): a group's rows in order, `most` to a row, so a large group is several rows of pages 0, 1, ... and no row is larger; groups are told in order by first appearance. ord tells rows of a group apart."""
+    placed = ranked_by_count(sections.select(group, "ord", *fields).withColumns({"_all": F.lit(0), "id": F.col("ord"), **{f"_{f}": F.col(f) for f in fields}}), "_all", by=(group,))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ord", *[F.col(f"_{f}").alias(f) for f in fields]))), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    pages = placed.groupBy(group, F.floor((F.col("rank") - 1) / most).alias("page")).agg(items.alias("items"))
+    return pages.join(sections.groupBy(group).agg(F.min("ord").alias("first_ord")), group).select(group, "first_ord", "page", "items")
 
 
 def merged(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

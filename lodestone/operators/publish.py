@@ -43,14 +43,19 @@ def facet_counts(rows: DataFrame, selections: dict[str, list]) -> DataFrame:
     return rows.agg(F.count_if(facet(rows, selections)).alias("visible"), F.count("*").alias("total"))
 
 
+def _hosted(pages: DataFrame) -> DataFrame:
+    """pages with their host; those without one are all of one site."""
+    return pages if "host" in pages.columns else pages.withColumn("host", F.lit(""))
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(page, href) of pages(page, html)."""
-    return pages.select("page", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    """(host, page, href) of pages(page, html) or pages(host, page, html)."""
+    return _hosted(pages).select("host", "page", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(target, fragment): the ids of each page."""
-    return pages.select(F.col("page").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(' id="([^"]*)"'), F.lit(1)))).alias("fragment"))
+    """(host, target, fragment): the ids of each page."""
+    return _hosted(pages).select("host", F.col("page").alias("target"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(' id="([^"]*)"'), F.lit(1)))).alias("fragment"))
 
 
 def resolve(href: Column, page: Column) -> Column:
@@ -68,11 +73,13 @@ def resolve(href: Column, page: Column) -> Column:
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
-    """(page, href, problem): links of pages(page, html) without a target, and fragments that their target lacks."""
+    """([host,] page, href, problem): links of pages([host,] page, html) without a target on their own site, and fragments that their target lacks."""
+    columns = ["host", "page", "href"] if "host" in pages.columns else ["page", "href"]
+    there = _hosted(pages).select("host", F.col("page").alias("target")).distinct()
     found = links(pages).withColumn("target", resolve(F.col("href"), F.col("page"))).where("target is not null")
-    missing = found.join(pages.select(F.col("page").alias("target")), "target", "left_anti").select("page", "href", F.lit("no target").alias("problem"))
-    fragments = found.withColumn("fragment", F.regexp_extract("href", "#(.*)$", 1)).where("fragment <> ''").join(pages.select(F.col("page").alias("target")), "target", "left_semi")
-    return missing.unionByName(fragments.join(anchors(pages), ["target", "fragment"], "left_anti").select("page", "href", F.lit("no fragment").alias("problem")))
+    missing = found.join(there, ["host", "target"], "left_anti").select(*columns, F.lit("no target").alias("problem"))
+    fragments = found.withColumn("fragment", F.regexp_extract("href", "#(.*)$", 1)).where("fragment <> ''").join(there, ["host", "target"], "left_semi")
+    return missing.unionByName(fragments.join(anchors(pages), ["host", "target", "fragment"], "left_anti").select(*columns, F.lit("no fragment").alias("problem")))
 
 
 def sitemap_entry(url: Column, day: Column) -> Column:

@@ -134,6 +134,13 @@ def anchored(rows: DataFrame, entity: str, lines: DataFrame, pattern: str) -> Da
     return finding(at, ~F.col("_line").rlike(pattern), entity, "start_line", F.col("_line"))
 
 
+def anchored_in(rows: DataFrame, entity: str, files: DataFrame, pattern: str) -> DataFrame:
+    """anchored() over files(file, content): the line is cut out of its file, so no file is taken apart into all of its lines."""
+    at = rows.join(files.select("file", "content"), "file").where(F.col("start_line").between(1, F.length("content") - F.length(F.replace("content", F.lit("\n"))) + 1))
+    line = F.substring_index(F.expr("substring_index(content, '\n', start_line)"), "\n", -1)
+    return finding(at.withColumn("_line", line), ~F.col("_line").rlike(pattern), entity, "start_line", F.col("_line"))
+
+
 def only_on(rows: DataFrame, entity: str, when: Column, field: str, place) -> DataFrame:
     return finding(rows, conditions.elsewhere(when, field, place), entity, field)
 

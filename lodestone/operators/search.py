@@ -156,6 +156,14 @@ def top_of(value: str | None, default: int = 3) -> int:
     return int(found[1]) or default if found else default
 
 
+def rendered(rows: DataFrame, fields: list[str], order: list[Column], most: int, places: dict[str, int] | None = None) -> DataFrame:
+    """(document): the first `most` rows as one JSON array of objects, some numbers with so many decimals, nulls as null."""
+    values = [F.round(f, places[f]).alias(f) if places and f in places else F.col(f) for f in fields]
+    best = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") <= most)
+    every = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.struct(*values).alias("r")))), lambda x: x["r"])
+    return best.agg(F.to_json(every, {"ignoreNullFields": "false"}).alias("document"))
+
+
 class Index:
     """A TF-IDF index of sections(id, ord, title, text), kept as tables below a path: built once, opened again, and added to. Queries may have a stop list of their own."""
 

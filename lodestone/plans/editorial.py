@@ -10,7 +10,8 @@ from ..sources.documents import payload_field
 from ..sources.tables import facts, sections, site, table
 from .publishing import _ESC, _FACTS, _SITE
 from .quality import _scan_sql
-from .retrieval import _INDEX, _SECTIONS, _TOKENS, SEEDS, _edges, _neighbours_sql
+from .retrieval import _INDEX, _SECTIONS, _TOKENS, LOOKUP, QUERY, SEEDS, _edges, _index, _neighbours_sql
+from .retrieval import QUERIES as _RETRIEVAL
 
 IDENTIFIERS = [disclosure.prefixed(["erth", "oner"]), disclosure.namespaced(["feature"]), disclosure.called(["run_job"]), disclosure.worded(["thing", "license"])]
 _IDENTIFIER_SQL = {"prefixed": r"(\b(?:erth|oner)[a-z0-9_]+\b)", "namespaced": r"(\bfeature__[a-z][a-z0-9_]*\b)", "called": r"(\brun_job)[(]", "worded": r"((?i)\b(?:thing|license)\b)"}
@@ -38,6 +39,24 @@ def neighbour_titles(spark, sf):
     return graph.titled(graph.neighbours(seeds, edges, 0.2), "dst", _titles(spark, sf)).select("dst", "via", "reason", "title")
 
 
+def neighbour_order(spark, sf):
+    """Neighbours by relevance, ties as they were discovered: relevance in steps of a tenth makes many."""
+    seeds = spark.createDataFrame([(s, i) for i, s in enumerate(SEEDS)], "src long, seed_pos int")
+    edges = _edges(spark, sf, SEEDS).withColumn("relevance", F.round("relevance", 1))
+    return graph.in_order(graph.neighbours(seeds, edges, 0.1)).select("dst", "relevance", "via", "rank")
+
+
+def section_order(spark, sf):
+    """Sections by id within their files."""
+    return graph.by_id(sections(spark, sf).select("file", "id")).select("file", "id", "rank")
+
+
+def hybrid_document(spark, sf):
+    """The best ten of the fused ranking as one JSON document, scores with four decimals."""
+    best = _index(spark, sf).hybrid(QUERY + " " + LOOKUP, 10).withColumn("rrf", F.round("rrf", 6))
+    return search.rendered(best, ["id", "rrf", "confidence", "layer", "keyword_rank", "tfidf_rank"], [F.desc("rrf"), F.asc("id")], 10, {"rrf": 4})
+
+
 def symptom_diagnosis(spark, sf):
     bench = table(spark, sf, "benchmark")
     patterns = bench.select(F.col("item_id").alias("symptom"), F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("pattern"))
@@ -57,12 +76,12 @@ def index_composed(spark, sf):
 def section_nested(spark, sf):
     rows = sections(spark, sf).withColumn("title", F.md5("title"))
     items = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["id"].cast("string"), x["title"])), " ")
-    return graph.nested(rows, "file", "id", "title").select("file", "first_ord", F.md5(items).alias("items"))
+    return graph.nested(rows, "file", "id", "title", most=20).select("file", "first_ord", "page", F.md5(items).alias("items"))
 
 
 def nav_nested(spark, sf):
     rows = site(spark, sf).withColumn("ord", F.col("page_id"))
-    return graph.nested(rows, "host", "page").select("host", "first_ord", F.array_join(F.transform("items", lambda x: x["page"]), " ").alias("items"))
+    return graph.nested(rows.withColumnRenamed("page", "name"), "host", "name").select("host", "first_ord", "page", F.array_join(F.transform("items", lambda x: x["name"]), " ").alias("items"))
 
 
 def _gate_findings(spark, sf):
@@ -149,6 +168,11 @@ def extracted_names(spark, sf):
 
 
 _NAME_TEXT = "'order-' || o_orderkey || '-' || strftime(o_orderdate, '%Y-%m-%d') || ' OrderOf' || case when o_orderstatus = 'F' then 'Finished' else 'Open' end || ' [a, b]'"
+_ORDERED_SQL = f"""with seeds(src, seed_pos) as (values {", ".join(f"({s}, {i})" for i, s in enumerate(SEEDS))}),
+e as (select s.src, s.seed_pos, r.vec_id as dst, round(round(list_dot_product(r.embedding::double[], q.embedding::double[]), 6), 1) as relevance from seeds s join embeddings q on q.vec_id = s.src join embeddings r on r.vec_id <> s.src),
+f as (select *, row_number() over (partition by dst order by seed_pos) as n from e where relevance >= 0.1 and dst not in (select src from seeds))
+select dst, relevance, src as via, row_number() over (order by relevance desc, seed_pos, dst)::int as rank from f where n = 1"""
+HYBRID_SQL = _RETRIEVAL["hybrid_search"][1]
 _TITLED = "t as (select id, title from s where length(title) < 200)"
 _COMPOSED = f"""{_SECTIONS.replace("s as", "s0 as")}, p as (select id, unnest(list_distinct({_TOKENS.format("title")})) as keyword from s0), k as (select id, string_agg(keyword, ' ' order by keyword) as words from p where length(keyword) >= 4 group by id),
 r as (select doc_id as id, string_agg(distinct 'quality' || quality, ' ' order by 'quality' || quality) as topics from labels group by doc_id),
@@ -164,6 +188,12 @@ QUERIES = {
         neighbour_titles,
         f"with {_SECTIONS}, {_TITLED}, n as ({_neighbours_sql('seed_pos, dst')}) select dst, via, case when relevance > 0.3 then 'close' else 'near' end as reason, coalesce(title, 'Section ' || dst) as title from n left join t on t.id = n.dst",
     ),
+    "neighbour_order": (neighbour_order, _ORDERED_SQL),
+    "section_order": (section_order, "select source as file, doc_id as id, row_number() over (partition by source order by doc_id)::int as rank from documents"),
+    "hybrid_document": (
+        hybrid_document,
+        f"""with h as ({HYBRID_SQL}) select to_json(list(struct_pack(id := id, rrf := round(rrf, 4), confidence := confidence, layer := layer, keyword_rank := keyword_rank, tfidf_rank := tfidf_rank) order by rrf desc, id))::varchar as document from h""",
+    ),
     "symptom_diagnosis": (
         symptom_diagnosis,
         f"""with {_SECTIONS}, {_TITLED}, p as (select item_id as symptom, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as pattern from benchmark),
@@ -171,8 +201,8 @@ m as (select doc_id as id, symptom, list_filter(pattern, lambda x: contains(lowe
 select l.id, symptom, md5(array_to_string(matched, chr(10))) as matched, 'see item ' || symptom as hint, lesson, coalesce(title, 'Section ' || lesson) as title from l left join t on t.id = l.lesson""",
     ),
     "index_composed": (index_composed, f"with {_COMPOSED}{_INDEX.removeprefix(_SECTIONS)} select id, count(*) as terms, sum(round(weight * 10000)::bigint)::bigint as weight from w group by id"),
-    "section_nested": (section_nested, f"with {_SECTIONS} select file, min(ord) as first_ord, md5(string_agg(id || ':' || md5(title), ' ' order by ord)) as items from s group by file"),
-    "nav_nested": (nav_nested, f"with {_SITE} select host, min(page_id) as first_ord, string_agg(page, ' ' order by page_id) as items from q group by host"),
+    "section_nested": (section_nested, f"with {_SECTIONS}, k as (select *, (row_number() over (partition by file order by ord) - 1) // 20 as page, min(ord) over (partition by file) as first_ord from s) select file, first_ord, page, md5(string_agg(id || ':' || md5(title), ' ' order by ord)) as items from k group by all"),
+    "nav_nested": (nav_nested, f"with {_SITE} select host, min(page_id) as first_ord, 0 as page, string_agg(page, ' ' order by page_id) as items from q group by host"),
     "gate_messages": (gate_messages, f"with {_GATES} select rule_id || ' ' || entity || ': ' || field || ' ' || coalesce(hit, '(missing)') as message from z order by message limit 25"),
     "home_view": (
         home_view,

@@ -55,12 +55,15 @@ def facet_counts(spark, sf):
 
 
 def link_integrity(spark, sf):
-    return publish.broken_links(site(spark, sf).select("page", "html")).distinct()
+    """Links of the pages, with two more for each that climb: to the page's own folder by the one above it, and to a page above that is not there."""
+    own = F.regexp_extract("page", "([^/]*)/[^/]*$", 1)
+    climbing = F.concat("html", F.lit('<a href="../'), own, F.lit('/">x</a><a href="./../../none.html">y</a>'))
+    return publish.broken_links(site(spark, sf).select("host", "page", climbing.alias("html"))).distinct()
 
 
 def link_fragments(spark, sf):
     """Pages whose own fragments are looked for in themselves; the tables' pages have no ids, so each such link is a finding."""
-    pages = site(spark, sf).select("page", F.concat("html", F.lit('<a href="#top">x</a><a href="#end">y</a><i id="end"></i>')).alias("html"))
+    pages = site(spark, sf).select("host", "page", F.concat("html", F.lit('<a href="#top">x</a><a href="#end">y</a><i id="end"></i>')).alias("html"))
     return publish.broken_links(pages).where("problem = 'no fragment'").distinct()
 
 
@@ -112,10 +115,14 @@ def markdown_tables(spark, sf):
     return cells.where("n > 0").select("p_partkey", F.col("cells")[0].alias("name"), F.col("cells")[1].alias("type"))
 
 
-_BROKEN = """l as (select page, unnest(regexp_extract_all({html}, 'href="([^"]*)"', 1)) as href from q),
-r as (select page, href, regexp_replace(href, '[?#].*$', '') as path from l where not regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:|^//')),
-j as (select page, href, array_to_string(list_filter(string_split(case when path = '' then page when path like '/%' then substr(path, 2) else regexp_replace(page, '[^/]*$', '') || path end, '/'), lambda x: x not in ('', '.')), '/') as name, path from r),
-t as (select page, href, case when name = '' then 'index.html' when path like '%/' then name || '/index.html' when not contains(string_split(name, '/')[-1], '.') then name || '/index.html' else name end as target from j)"""
+# each .. takes away the part before it, which a text that grows part by part states
+_PARTS = "list_filter(string_split(case when path = '' then page when path like '/%' then substr(path, 2) else regexp_replace(page, '[^/]*$', '') || path end, '/'), lambda x: x not in ('', '.'))"
+_BROKEN = f"""l as (select host, page, unnest(regexp_extract_all({{html}}, 'href="([^"]*)"', 1)) as href from q),
+r as (select host, page, href, regexp_replace(href, '[?#].*$', '') as path from l where not regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:|^//')),
+j as (select host, page, href, substr(list_reduce(list_concat([''], {_PARTS}), lambda a, p: case when p = '..' then regexp_replace(a, '/?[^/]*$', '') else a || '/' || p end), 2) as name, path from r),
+t as (select host, page, href, case when name = '' then 'index.html' when path like '%/' then name || '/index.html' when not contains(string_split(name, '/')[-1], '.') then name || '/index.html' else name end as target from j)"""
+
+_CLIMBING = """html || '<a href="../' || regexp_extract(page, '([^/]*)/[^/]*$', 1) || '/">x</a><a href="./../../none.html">y</a>'"""
 
 QUERIES = {
     "published_projection": (published_projection, f"with {_FACTS} select fact_id, page, rule, tier, day from f where durability = 'durable'"),
@@ -126,8 +133,8 @@ QUERIES = {
     "nav_groups": (nav_groups, f"with {_SITE} select host, min(page_id) as first_ord, count(*) as pages from q group by host"),
     "facet_rows": (facet_rows, f"with {_FACTS} select fact_id, tier from f where durability = 'durable' and tier in ('1-URGENT', '2-HIGH')"),
     "facet_counts": (facet_counts, f"with {_FACTS} select count(*) filter (durability = 'durable' and tier in ('1-URGENT', '2-HIGH')) as visible, count(*) as total from f"),
-    "link_integrity": (link_integrity, f"with {_SITE}, {_BROKEN.format(html='html')} select distinct page, href, 'no target' as problem from t where target not in (select page from q)"),
-    "link_fragments": (link_fragments, f"with {_SITE} select distinct page, '#top' as href, 'no fragment' as problem from q"),
+    "link_integrity": (link_integrity, f"with {_SITE}, {_BROKEN.format(html=_CLIMBING)} select distinct host, page, href, 'no target' as problem from t where (host, target) not in (select (host, page) from q)"),
+    "link_fragments": (link_fragments, f"with {_SITE} select distinct host, page, '#top' as href, 'no fragment' as problem from q"),
     "sitemap": (sitemap, f"select page_id, '<url><loc>' || {_ESC.format('url')} || '</loc><lastmod>2024-05-01</lastmod></url>' as entry from pages"),
     "sitemap_difference": (sitemap_difference, "select url, 'left' as side from (select url from pages except all select url from pages where page_id % 10 <> 0)"),
     "text_index": (text_index, f"with {_SITE} select page_id, page || chr(9) || regexp_extract(html, '<title>([^<]*)</title>', 1) as line from q"),

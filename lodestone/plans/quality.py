@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import disclosure, rules
-from ..sources.documents import numbered_lines
 from ..sources.json_walk import walk
 from ..sources.tables import table
 
@@ -39,7 +38,7 @@ _LINES = "l as (select source || '/' || doc_id as file, unnest(range(1, len(stri
 def _anchors(t):
     docs = t["documents"].select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("file"), F.col("text").alias("content"))
     sections = docs.select("file", F.lit(2).alias("start_line"))
-    return rules.anchored(sections, "file", numbered_lines(docs), "^[A-Z]")
+    return rules.anchored_in(sections, "file", docs, "^[A-Z]")
 
 
 def _kinds(t):

@@ -116,12 +116,13 @@ def section_topics(spark, sf):
 
 
 def _edges(spark, sf, seeds):
-    """Links of a few seeds to all vectors: the seeds are literals of the query, so this is one pass over the table."""
+    """Links of a few seeds to all vectors. Ids are unique, so the seeds' own vectors are as many as the seeds; they become literals of one pass over the table."""
     rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    near = rows.where(F.col("vec_id").isin(seeds)).select(F.col("vec_id").alias("src"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    both = rows.crossJoin(F.broadcast(near)).where("vec_id <> src")
-    return both.select("src", F.col("vec_id").alias("pos"), F.col("vec_id").alias("dst"), F.round(dot, 6).alias("relevance"), F.lit("near").alias("reason"))
+    known = {r["vec_id"]: r["e"] for r in rows.where(F.col("vec_id").isin(seeds)).dropDuplicates(["vec_id"]).collect()}
+    near = F.array(*[F.struct(F.lit(s).cast("long").alias("src"), F.array(*[F.lit(x) for x in v]).alias("q")) for s, v in known.items()])
+    both = rows.select("vec_id", "e", F.explode(near).alias("n")).where("vec_id <> n.src") if known else rows.select("vec_id", "e", F.struct(F.col("vec_id").alias("src"), F.col("e").alias("q")).alias("n")).where("false")
+    dot = F.aggregate(F.zip_with("e", "n.q", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return both.select("n.src", F.col("vec_id").alias("pos"), F.col("vec_id").alias("dst"), F.round(dot, 6).alias("relevance"), F.lit("near").alias("reason"))
 
 
 SEEDS = [100, 200, 300]

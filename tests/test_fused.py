@@ -117,3 +117,33 @@ def test_observations(spark):
     for r in fused.findings(df, "id", [RowRule("V12", "o", hits=hits)]).collect():
         got.setdefault(int(r["entity"]), []).append(r["hit"])
     assert got == {i: m for i, _, _, m in cases if m}
+
+
+def test_orders_and_documents(spark):
+    """Ranks of neighbours and sections, large groups in several rows, results as one document."""
+    from lodestone.operators import graph, search
+
+    seeds = spark.createDataFrame([(1, 0), (2, 1)], "src long, seed_pos int")
+    edges = spark.createDataFrame([(1, 0, 9, 0.8, "a"), (1, 1, 8, 0.9, "b"), (2, 0, 7, 0.9, "c"), (2, 1, 6, 0.8, "d")], "src long, pos int, dst long, relevance double, reason string")
+    assert [r["dst"] for r in graph.in_order(graph.neighbours(seeds, edges)).orderBy("rank").collect()] == [8, 7, 9, 6]
+    sections = spark.createDataFrame([(f, i, 10 * i, f"t{i}") for i in range(25) for f in ("a", "b") if f == "a" or i < 3], "file string, ord long, id long, title string")
+    pages = {(r["file"], r["page"]): [x["id"] for x in r["items"]] for r in graph.nested(sections.withColumn("sid", F.col("id")).drop("id").withColumnRenamed("sid", "id"), "file", "id", "title", most=10).collect()}
+    assert pages == {("a", 0): list(range(0, 100, 10)), ("a", 1): list(range(100, 200, 10)), ("a", 2): list(range(200, 250, 10)), ("b", 0): [0, 10, 20]}
+    assert [r["rank"] for r in graph.by_id(sections.where("file = 'b'")).orderBy("id").collect()] == [1, 2, 3]
+    rows_ = spark.createDataFrame([(1, 0.123456, None), (2, 0.5, "é\"")], "id long, score double, note string")
+    made = search.rendered(rows_, ["id", "score", "note"], [F.desc("score")], 5, {"score": 4}).first()[0]
+    assert made == '[{"id":2,"score":0.5,"note":"é\\""},{"id":1,"score":0.1235,"note":null}]'
+    assert search.rendered(rows_.limit(0), ["id"], [F.desc("score")], 5).first()[0] == "[]"
+    site = spark.createDataFrame([("one", "a/b/index.html", '<a href="../c.html">x</a><a href="/d/../e.html">y</a>'), ("two", "a/c.html", ""), ("one", "e.html", '<a href="a/b/">z</a>')], "host string, page string, html string")
+    from lodestone.operators import publish
+
+    assert rows(publish.broken_links(site)) == [("one", "a/b/index.html", "../c.html", "no target")]  # the other host's page of that path is no target
+
+
+def test_anchors_cut_out(spark):
+    files = spark.createDataFrame([("a", "One\ntwo\n\nFour"), ("b", ""), ("c", None)], "file string, content string")
+    anchors = spark.createDataFrame([("a", i) for i in range(-1, 7)] + [("b", 1), ("c", 1), ("d", 1)], "file string, start_line int")
+    from lodestone.sources.documents import numbered_lines
+
+    plain = rules.anchored(anchors, "file", numbered_lines(files.where("content is not null")), "^[A-Z]")
+    assert rows(rules.anchored_in(anchors, "file", files, "^[A-Z]")) == rows(plain) == [("a", "start_line", ""), ("a", "start_line", "two"), ("b", "start_line", "")]
