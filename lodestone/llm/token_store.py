@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import cut, text_slices
 from .piece_table import PieceTable
+from .word_pieces import with_special
 
 #: What ends a file: the seek table's flags, which tell of checksums, and the magic of seekable files.
 FOOTER = bytes([0x80, 0xB1, 0xEA, 0x92, 0x8F])
@@ -41,10 +42,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before = spec.get("pre_tokenizer") or {}
+        #: Strings that the library takes for tokens wherever they stand.
+        self.special = [t["content"].encode() for t in spec.get("added_tokens", [])]
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.uint16 if len(vocabulary) <= 65536 else np.uint32
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -82,7 +84,8 @@ class Encoder:
         if self.table is None:
             texts = [x or "" for x in part.column(1).to_pylist()]
             return [np.array(e.ids, dtype=self.kind).tobytes() + tail for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat, counts = self.table.ids(data, offsets)
+        whole = lambda texts: [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, dtype=self.kind) for t in texts]
+        flat, counts = with_special(*self.table.ids(data, offsets), data, offsets, self.special, whole)
         raw, at = flat.tobytes(), (np.concatenate([[0], np.cumsum(counts)]) * flat.itemsize).tolist()
         return [raw[a:b] + tail for a, b in zip(at, at[1:], strict=False)]
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -61,19 +62,22 @@ class WordEncoder:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts given by their UTF-8 bytes, laid end to end, and each text's number of ids."""
-        flat, counts = self.table.ids(data, offsets)
-        raw = data.tobytes()
-        places = [i for s in self.special for i in _places(raw, s)]
-        rows = sorted({int(np.searchsorted(offsets, i, side="right")) - 1 for i in places})
-        if not rows:
-            return flat, counts
-        parts = np.split(flat, np.cumsum(counts)[:-1])
-        for r in rows:
-            parts[r] = self._encode([raw[offsets[r] : offsets[r + 1]]])[0]
-        return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
-
-
-def _places(raw: bytes, part: bytes):
+        return with_special(*self.table.ids(data, offsets), data, offsets, self.special, self._encode)
+
+
+def with_special(flat: np.ndarray, counts: np.ndarray, data: np.ndarray, offsets: np.ndarray, special: list[bytes], encode: Callable[[list[bytes]], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """ids and counts of texts, those that hold a special token's string encoded again, whole, as the library takes it for the token."""
+    raw = data.tobytes()
+    rows = sorted({int(np.searchsorted(offsets, i, side="right")) - 1 for s in special for i in _places(raw, s)})
+    if not rows:
+        return flat, counts
+    parts = np.split(flat, np.cumsum(counts)[:-1])
+    for r in rows:
+        parts[r] = encode([raw[offsets[r] : offsets[r + 1]]])[0]
+    return np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+
+
+def _places(raw: bytes, part: bytes) -> Iterator[int]:
     at = raw.find(part)
     while at >= 0:
         yield at

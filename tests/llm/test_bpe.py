@@ -148,15 +148,15 @@ def test_pieces_of_equal_hashes(library, monkeypatch):
 def test_registered_queries(spark, library, tmp_path):
     from lodestone.llm import queries
 
-    rows = [(3, "The cat's hat. <|endoftext|>"), (1, None), (2, ""), (7, "x " * 3000), (5, "été 日本 " + _thue_morse(9, "a", "b")), (6, _thue_morse(9, "b", "a"))]
+    rows = [(3, "The cat's hat. <|endoftext|>"), (1, None), (2, ""), (7, "x " * 3000), (5, "été 日本 " + _thue_morse(9, "a", "b")), (6, _thue_morse(9, "b", "a")), (8, "a<|endoftext|>b<|endoftext|><|endoftext|>"), (9, "<|endoftext|")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op2_byte_level_bpe(spark, str(tmp_path)).collect()}
     for d, t in rows:
         want = library.encode_ordinary(t or "")
         digest = hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert tuple(got[d]) == (d, len(want), digest, hashlib.sha256((t or "").encode()).hexdigest())
-    plain, at = Tokenizer.from_file(JSON), 0
-    plain.encode_special_tokens = True
+    plain, at = Tokenizer.from_file(JSON), 0  # the library call as it stands: a special token's string is the token
+    assert 50256 in plain.encode("<|endoftext|>", add_special_tokens=False).ids
     found = {r["doc_id"]: tuple(r) for r in queries.op5_token_id_files(spark, str(tmp_path)).collect()}
     for d, t in sorted(rows, key=lambda r: r[0]):
         want = [*plain.encode(t or "", add_special_tokens=False).ids, 0]
