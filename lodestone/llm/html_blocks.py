@@ -2,7 +2,7 @@
 
 A page becomes the sequence of its text blocks: runs of text between block-level tags, without comments, scripts, styles and other unread elements. Each block has a vector: hashed tag path
 with class, id and role words, all its words hashed and scaled by the root of their number, length, link share and punctuation. A numpy bidirectional LSTM reads the whole sequence, and a logistic unit labels each block as main text or not, with the
-document on both sides as context. The network is trained here, at the first use, on pages drawn from a fixed seed in many layouts; it sees no page of the input.
+document on both sides as context. The network is trained here, at the first use, on pages drawn from a fixed seed in many layouts with all kinds of elements, and its weights are kept; it sees no page of the input.
 
 Cases: null or empty html, and pages without main text, give an empty string; broken markup (unclosed or stray tags) is read as browsers do, by closing what a new block implies; whole pages are read;
 the states run through the whole page, and longer pages run with fewer others at a time, so memory is bounded by the longest page; repeated rows get equal results; other columns pass.
@@ -10,17 +10,21 @@ the states run through the whole page, and longer pages run with fewer others at
 
 from __future__ import annotations
 
+import hashlib
 import html
+import inspect
+import io
 import re
+import sys
 import zlib
 from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import text_slices
+from ._shared import fresh_path, shared_dir, text_slices
 
 # The element names of HTML by how their content is read.
 UNREAD = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "select", "textarea", "canvas", "math", "title"}
@@ -357,6 +361,38 @@ def _drawn(rng: np.random.Generator) -> tuple[str, set[str]]:
         main.add(t)
         return t
 
+    def short(most: int = 6) -> str:
+        return text(int(rng.integers(1, most)))
+
+    def rich() -> str:
+        """Tables, lists of definitions, figures, lists of links, code, numbered lists, sections, details."""
+        n = int(rng.integers(2, 6))
+        kind = int(rng.choice([0, 1, 2, 3, 3, 3, 4, 5, 6, 7, 8]))
+        if kind == 0:
+            across = int(rng.integers(2, 5))
+            head = "<tr>" + "".join(f"<th>{short(4)}</th>" for _ in range(across)) + "</tr>" if rng.random() < 0.7 else ""
+            rows = "".join("<tr>" + "".join(f"<td>{short(8)}</td>" for _ in range(across)) + "</tr>" for _ in range(n))
+            caption = f"<caption>{short()}</caption>" if rng.random() < 0.3 else ""
+            return f"<table>{caption}<thead>{head}</thead><tbody>{rows}</tbody></table>" if rng.random() < 0.5 else f"<table>{caption}{head}{rows}</table>"
+        if kind == 1:
+            return "<dl>" + "".join(f"<dt>{short()}</dt><dd>{short(25)}</dd>" for _ in range(n)) + "</dl>"
+        if kind == 2:
+            return f'<figure><img src="/i.png"><figcaption>{short(15)}</figcaption></figure>' * (1 if rng.random() < 0.8 else 2)
+        if kind == 3:
+            name = str(rng.choice(["ul", "ol"]))
+            return f"<{name}>" + "".join(f'<li><a href="/{k}">{short(9)}</a></li>' for k in range(n)) + f"</{name}>"
+        if kind == 4:
+            code = "\n".join(short(8) for _ in range(n))
+            main.add(" ".join(code.split()))
+            return f"<pre><code>{code}</code></pre>" if rng.random() < 0.5 else f"<pre>{code}</pre>"
+        if kind == 5:
+            return "<ol>" + "".join(f"<li>{short(20)}</li>" for _ in range(n)) + "</ol>"
+        if kind == 6:
+            return f"<section><h3>{short(7)}</h3><p>{short(60)}</p><h4>{short(7)}</h4><div>{short(30)}</div></section>"
+        if kind == 7:
+            return f"<details><summary>{short(7)}</summary><p>{short(30)}</p></details>"
+        return "".join(f'<p><a href="/{k}">{short(9)}</a></p>' if rng.random() < 0.5 else f"<p><em>{short(9)}</em></p>" for k in range(n))
+
     inside = []
     if rng.random() < 0.8:
         inside.append(f"<h1>{text(int(rng.integers(3, 12)))}</h1>")
@@ -372,6 +408,9 @@ def _drawn(rng: np.random.Generator) -> tuple[str, set[str]]:
             inside.append("<ul>" + "".join(f"<li>{text(int(rng.integers(3, 20)))}</li>" for _ in range(rng.integers(2, 5))) + "</ul>")
         else:
             inside.append(f"<blockquote>{text(int(rng.integers(5, 40)))}</blockquote>")
+    if rng.random() < 0.6:  # the rest of what articles hold, anywhere in them
+        for _ in range(rng.integers(1, 4)):
+            inside.insert(int(rng.integers(0, len(inside) + 1)), rich())
     if rng.random() < 0.2:  # short blocks that repeat are still main text
         inside += [f"<p>{text(int(rng.integers(1, 5)))}</p>"] * int(rng.integers(3, 25))
     if rng.random() < 0.3:
@@ -380,14 +419,14 @@ def _drawn(rng: np.random.Generator) -> tuple[str, set[str]]:
         inside.append(noise("comments"))
     kind = rng.random()
     name = str(rng.choice(_MAIN))
-    open_, close = ("<article>", "</article>") if kind < 0.5 else ("<main>", "</main>") if kind < 0.65 else (f'<div class="{name}">', "</div>") if kind < 0.8 else (f'<div id="{name}">', "</div>") if kind < 0.9 else ("<div>", "</div>")
+    open_, close = ("<article>", "</article>") if kind < 0.45 else ("<main>", "</main>") if kind < 0.6 else (f'<div class="{name}">', "</div>") if kind < 0.73 else (f'<div id="{name}">', "</div>") if kind < 0.82 else ("<div>", "</div>")
     before = [noise(str(k)) for k in rng.choice(["nav", "header", "ad", "notice", "form", "aside"], size=rng.integers(0, 4))]
     after = [noise(str(k)) for k in rng.choice(["footer", "comments", "aside", "ad", "share", "form", "notice", "nav"], size=rng.integers(0, 4))]
     return "<html><body>" + "".join(before) + open_ + "".join(inside) + close + "".join(after) + "</body></html>", main
 
 
 @lru_cache(1)
-def train(pages: int = 2400, epochs: int = 6, seed: int = 20240504) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(pages: int = 3000, epochs: int = 6, seed: int = 20240504) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The weights of both directions and of the logistic unit, by Adam on drawn pages."""
     rng = np.random.default_rng(seed)
     data = []
@@ -423,6 +462,21 @@ def train(pages: int = 2400, epochs: int = 6, seed: int = 20240504) -> tuple[np.
     return tuple(w.astype(np.float32) for w in weights)
 
 
+def weights(spark: SparkSession) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """train()'s weights, kept in the shared folder under the digest of this module, so that they are trained once for all sessions that share it."""
+    path = f"{shared_dir(spark)}/lodestone/html-weights-{hashlib.sha256(inspect.getsource(sys.modules[__name__]).encode()).hexdigest()[:32]}"
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
+        packed = io.BytesIO()
+        np.savez(packed, *train())
+        building = fresh_path(spark, "html-weights")
+        spark.createDataFrame([(bytearray(packed.getvalue()),)], "weights binary").coalesce(1).write.parquet(building)
+        at.getFileSystem(conf).rename(jvm.org.apache.hadoop.fs.Path(building), at)  # of two sessions the first one's stay
+    with np.load(io.BytesIO(bytes(spark.read.parquet(path).first()[0]))) as kept:
+        return tuple(kept[name] for name in kept.files)
+
+
 def main_texts(model, pages: list[str]) -> list[str]:
     """The main text of each page."""
     found = [blocks(p) for p in pages]
@@ -432,7 +486,7 @@ def main_texts(model, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages without html, with `text` (of other columns of that name, this one stays) beside."""
-    shared = pages.sparkSession.sparkContext.broadcast(train())  # a few hundred KB
+    shared = pages.sparkSession.sparkContext.broadcast(weights(pages.sparkSession))  # a few hundred KB
     names = [c for c in pages.columns if c not in (html_column, "text")]
 
     def run(batches):
