@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,31 @@ def tokens(text: Column, stop: list[str] | None = None, unicode: bool = False) -
     return F.filter(keep, lambda w: ~w.isin(stop)) if stop else keep
 
 
+def pad_end(text: Column, width: int) -> Column:
+    """A text with blanks behind it up to a width; longer texts stay whole."""
+    return F.when(F.length(text) < width, F.rpad(text, width, " ")).otherwise(text)
+
+
+def pad_start(text: Column, width: int) -> Column:
+    return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+
+# The commands that write, print and interpret, by which a command line that changes a folder is told.
+WRITERS = ["mv", "cp", "rm", "sed", "tee", "chmod", "mkdir", "touch", "install", "ln"]
+INTERPRETERS = ["python", "node", "ruby", "perl"]
+
+
+def write_pattern(folder: str) -> str:
+    """A pattern for lines that write below a folder: a redirection or a writing command before it, a redirection behind it, or an interpreter that is told of it."""
+    before = ">|(?:" + "|".join(WRITERS) + ") |" + "|".join(INTERPRETERS)
+    name = re.escape(folder)
+    return f"(?:{before})[^\n]*{name}|{name}[^\n]*>"
+
+
+def writes_below(command: Column, folder: str) -> Column:
+    return command.rlike(write_pattern(folder))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 

@@ -46,6 +46,21 @@ def neighbour_order(spark, sf):
     return graph.in_order(graph.neighbours(seeds, edges, 0.1)).select("dst", "relevance", "via", "rank")
 
 
+def neighbour_report(spark, sf):
+    """(rank, line): neighbours in their order, as a reader sees them: padded id and title, relevance in percent, and where it comes from."""
+    titles = sections(spark, sf).select("id", F.substring("title", 1, 30).alias("title"))
+    rows = graph.titled(neighbour_order(spark, sf), "dst", titles)
+    percent = F.format_string("%.0f", F.col("relevance") * 100)
+    line = F.concat(F.lit("  ["), T.pad_start(F.col("dst").cast("string"), 4), F.lit("] "), T.pad_end(F.col("title"), 24), F.lit(" "), percent, F.lit("%  via "), F.col("via").cast("string"))
+    head = spark.createDataFrame([(0, "=" * 60)], "rank int, line string")
+    return head.unionByName(rows.select("rank", line.alias("line")))
+
+
+def write_paths(spark, sf):
+    """Texts with a line that, read as a command, writes below a folder of this name."""
+    return table(spark, sf, "documents").where(T.writes_below(F.col("text"), "and")).select("doc_id")
+
+
 def section_order(spark, sf):
     """Sections by id within their files."""
     return graph.by_id(sections(spark, sf).select("file", "id")).select("file", "id", "rank")
@@ -189,6 +204,12 @@ QUERIES = {
         f"with {_SECTIONS}, {_TITLED}, n as ({_neighbours_sql('seed_pos, dst')}) select dst, via, case when relevance > 0.3 then 'close' else 'near' end as reason, coalesce(title, 'Section ' || dst) as title from n left join t on t.id = n.dst",
     ),
     "neighbour_order": (neighbour_order, _ORDERED_SQL),
+    "neighbour_report": (
+        neighbour_report,
+        f"""with n as ({_ORDERED_SQL}), t as (select doc_id as id, substr(string_split(text, chr(10))[1], 1, 30) as title from documents), j as (select n.*, coalesce(title, 'Section ' || dst) as title from n left join t on t.id = n.dst)
+select 0 as rank, repeat('=', 60) as line union all select rank, '  [' || lpad(dst::varchar, greatest(4, length(dst::varchar))::int, ' ') || '] ' || rpad(title, greatest(24, length(title))::int, ' ') || ' ' || printf('%.0f', relevance * 100) || '%  via ' || via from j""",
+    ),
+    "write_paths": (write_paths, f"select doc_id from documents where regexp_matches(text, '{T.write_pattern('and')}')"),
     "section_order": (section_order, "select source as file, doc_id as id, row_number() over (partition by source order by doc_id)::int as rank from documents"),
     "hybrid_document": (
         hybrid_document,

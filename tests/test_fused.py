@@ -147,3 +147,12 @@ def test_anchors_cut_out(spark):
 
     plain = rules.anchored(anchors, "file", numbered_lines(files.where("content is not null")), "^[A-Z]")
     assert rows(rules.anchored_in(anchors, "file", files, "^[A-Z]")) == rows(plain) == [("a", "start_line", ""), ("a", "start_line", "two"), ("b", "start_line", "")]
+
+
+def test_command_lines_and_padding(spark):
+    from lodestone.functions import text as T
+
+    lines = ["echo x > .conf/a", "cat .conf/a >> y", "cp a .conf/", "ls .conf/", "python edit.py .conf/a", "cp a b\nls .conf/", "tee .conf/x", "cat .conf/x", "a >b\n.conf/"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, c string")
+    assert [r["i"] for r in df.where(T.writes_below(F.col("c"), ".conf/")).orderBy("i").collect()] == [0, 1, 2, 4, 6]
+    assert tuple(df.limit(1).select(T.pad_end(F.lit("é"), 3), T.pad_end(F.lit("long"), 3), T.pad_start(F.lit("7"), 2)).first()) == ("é  ", "long", " 7")
