@@ -51,3 +51,47 @@ def test_ties_go_to_the_earlier_line_then_the_name(spark):
 def test_query_against_sql(spark):
     mine, theirs = both(spark, connect("/root/testdata/sf0.001"), queries.op1_license_scan, queries.oracle_sql()["op1_license_scan"], "/root/testdata/sf0.001")
     assert mine == theirs
+
+
+AGPL_FILE = """                    GNU AFFERO GENERAL PUBLIC LICENSE
+                       Version 3, 19 November 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed."""
+BSD = """Copyright (c) 2024, Somebody
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+
+
+def test_kin_and_the_licenses_own_texts(spark):
+    gpl = AGPL_FILE.replace("AFFERO ", "").replace("19 November", "29 June")
+    apache = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"
+    wanted = {
+        "AGPL-3.0": [GPL.replace("GNU General", "GNU Affero General"), AGPL_FILE, "# SPDX-License-Identifier: AGPL-3.0-or-later"],
+        "GPL-3.0": [GPL, gpl, "# SPDX-License-Identifier: GPL-3.0-or-later", "// SPDX-License-Identifier: GPL-3.0-only"],
+        "GPL-2.0": [gpl.replace("3, 29 June 2007", "2, June 1991"), "/* SPDX-License-Identifier: GPL-2.0 */"],
+        "LGPL-3.0": [gpl.replace("GNU GENERAL", "GNU LESSER GENERAL")],
+        "LGPL-2.1": [LGPL, gpl.replace("GNU GENERAL", "GNU LESSER GENERAL").replace("3, 29 June 2007", "2.1, February 1999")],
+        "Apache-2.0": [APACHE, apache],
+        "BSD-2-Clause": ["BSD 2-Clause License\n\n" + BSD],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\n" + BSD, BSD],
+        "EPL-2.0": ["Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE"],
+        "MPL-2.0": ["// SPDX-License-Identifier: MPL-2.0"],
+    }
+    cases = [(name, text) for name, texts in wanted.items() for text in texts]
+    files = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(cases)], "rid long, text string")
+    assert {r["rid"]: r["license"] for r in S.licenses_of(files).collect()} == {i: name for i, (name, _) in enumerate(cases)}
+
+
+def test_no_single_word_is_a_license():
+    import re
+
+    from .test_license_scan import similarity
+
+    for _, text in S.TEMPLATES:
+        for word in set(re.findall(S.WORD, text.lower())):
+            assert similarity(word)[0] < S.THRESHOLD, word
