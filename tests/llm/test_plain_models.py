@@ -86,3 +86,33 @@ def test_held_out_by_crc32(spark, tmp_path):
     for query in (queries.op9_language_id, queries.op10_toxicity):
         found = {r["doc_id"]: r["held_out"] for r in query(spark, str(tmp_path)).collect()}
         assert found == {d: d is not None and zlib.crc32(str(d).encode()) % 5 == 0 for d, *_ in rows}
+
+
+def test_languages_are_kept_however_many_there_are(spark):
+    """100 languages with words of their own: held-out texts of each are named and fit, texts of letters by chance do not."""
+    prepare(spark)
+    rng = random.Random(8)
+    say = {}
+    for k in range(100):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñõøåşğıłžčřęőűабвгдежзиклмнопрстуфхцчшщыэюя", 14)
+        say[f"l{k:02d}"] = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(60)]
+    text = lambda x: " ".join(rng.choices(say[x], k=rng.randint(15, 60)))
+    data = [(i, text(x), x) for i in range(6000) for x in [f"l{i % 100:02d}"]]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 100 and model.least.min() > 0
+    fresh = [(i, text(f"l{i % 100:02d}")) for i in range(1000)]
+    rows = {r["doc_id"]: r for r in langid.predict(spark.createDataFrame(fresh, "doc_id long, text string"), model).collect()}
+    assert sum(rows[i]["lang_pred"] == f"l{i % 100:02d}" for i in rows) >= 980
+    assert sum(r["fits"] for r in rows.values()) >= 990
+    chance = [(i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(40))) for i in range(200)]
+    assert sum(r["fits"] for r in langid.predict(spark.createDataFrame(chance, "doc_id long, text string"), model).collect()) <= 2
+
+
+def test_a_language_of_few_rows_has_its_least_share_from_them(spark):
+    prepare(spark)
+    data = [(1, "one text alone", "en"), (2, "one text alone", "en"), (3, "ein text", "de"), (4, "noch ein langer text", "de"), (5, "123", "xx")]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"] and model.least[0] > 0 and model.least[1] == 0
+    texts = [(1, "one text"), (2, "123"), (3, None)]
+    rows = langid.predict(spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "7 as fits"), model).collect()
+    assert {r["doc_id"]: (r["lang_pred"], r["fits"]) for r in rows} == {1: ("en", True), 2: ("und", False), 3: ("und", False)}
